@@ -59,6 +59,7 @@ class LineRuns:
 
     def _write(self, run: DataFrame, level: int) -> None:
         name = f"veilspark_run_{uuid.uuid4().hex}"
+        run = run.repartition(self.buckets, "h1")  # one file for each bucket, not one for each task and bucket
         run.write.format("parquet").bucketBy(self.buckets, "h1").sortBy("h1", "h2").option("path", f"{self.base}/{name}").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
