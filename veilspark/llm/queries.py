@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from veilspark.llm import line_dedup
+from veilspark.llm import line_dedup, secret_scan
 
 QUERIES = {
+    "op4_secret_scan": secret_scan.op4_secret_scan,
     "op6_line_dedup": line_dedup.op6_line_dedup,
 }
 
