@@ -6,11 +6,25 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once for each application; they need not have the repository."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = Path(__file__).resolve().parent.parent
+    where = tempfile.mkdtemp(prefix="veilspark-py-")
+    atexit.register(shutil.rmtree, where, True)
+    sc.addPyFile(shutil.make_archive(f"{where}/{package.name}", "zip", package.parent, package.name))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,3 +69,12 @@ def lower_ascii(col):
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     ascii_only = F.length(col) == F.octet_length(col)
     return F.when(ascii_only, F.lower(col)).otherwise(F.translate(col, upper, lower))
+
+
+#: A table of so many narrow rows (about 100 bytes each in a hashed relation) may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` with a broadcast hint where a count proves that it has `rows` rows at most; else the planner shuffles both sides."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
