@@ -36,12 +36,18 @@ def _positions(words: Column, width: int) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
+def bound(value: Column, use) -> Column:
+    """`use(value)` with `value` as a lambda's variable: where the optimiser copies an expression, as it does for inferred
+    filters, its parts are still made once for each row and not once for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hashed_shingles(words: Column, width: int) -> Column:
-    return F.transform(_positions(words, width), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
+    return bound(words, lambda w: F.transform(_positions(w, width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)])))
 
 
 def shingle_texts(words: Column, width: int) -> Column:
-    return F.array_distinct(F.transform(_positions(words, width), lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(width)])))
+    return bound(words, lambda w: F.array_distinct(F.transform(_positions(w, width), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(width)]))))
 
 
 def items_of(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -65,14 +71,14 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, do
     probes = None
     for width in sorted({b["width"] for b in bounds}):
         of = sorted((b for b in bounds if b["width"] == width), key=lambda b: b["need"])
-        bound = F.lit(of[0]["h"])
+        most = F.lit(of[0]["h"])
         for low, b in zip(of, of[1:], strict=False):  # the bound of every partition up to the document's size
             high = max(x["h"] for x in of[: of.index(b) + 1])
-            bound = F.when(F.col("_n") >= b["need"], F.lit(high)).otherwise(bound)
+            most = F.when(F.col("_n") >= b["need"], F.lit(high)).otherwise(most)
         words = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("_w"))
         hashes = words.select("doc_id", hashed_shingles(F.col("_w"), width).alias("_h"))
-        sized = hashes.withColumn("_n", F.size("_h")).where(F.col("_n") >= of[0]["need"])
-        rows = sized.withColumn("_b", bound).select("doc_id", F.explode(F.filter("_h", lambda h: h <= F.col("_b"))).alias("h")).withColumn("width", F.lit(width))
+        sized = hashes.withColumn("_n", F.size("_h")).withColumn("_b", F.when(F.col("_n") >= of[0]["need"], most))  # too small: null, no probes
+        rows = sized.select("doc_id", F.explode_outer(F.filter("_h", lambda h: h <= F.col("_b"))).alias("h")).withColumn("width", F.lit(width))
         probes = rows if probes is None else probes.unionByName(rows)
     if probes is None:
         return docs.sparkSession.createDataFrame([], docs.select(F.col(doc_id).alias("doc_id")).schema).join(
@@ -114,10 +120,12 @@ WITH item AS (
 ), doc AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents
 ), s AS (
-  SELECT DISTINCT item_id, least(5, len(w)) AS width, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g FROM item, range(1, 100000) r(i) WHERE i <= len(w) - least(5, len(w)) + 1
+  SELECT DISTINCT item_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS g
+  FROM (SELECT item_id, w, least(5, len(w)) AS width FROM item WHERE len(w) > 0)
 ), n AS (SELECT item_id, count(*) AS n FROM s GROUP BY item_id
 ), d AS (
-  SELECT DISTINCT doc_id, width, array_to_string(w[i:i + width - 1], ' ') AS g FROM doc, (SELECT DISTINCT width FROM s) ws, range(1, 100000) r(i) WHERE i <= len(w) - width + 1
+  SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS g
+  FROM doc, (SELECT DISTINCT width FROM s) ws WHERE len(w) >= width
 )
 SELECT doc_id, item_id, max(n)::BIGINT AS n_item_shingles, count(*)::BIGINT AS n_shared, count(*)::DOUBLE / max(n) AS containment
 FROM d JOIN s USING (width, g) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= ceil(0.75 * max(n))
