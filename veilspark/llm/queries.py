@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from veilspark.llm import ann_bits, chat_format, decontaminate, langid, line_dedup, pii_labelers, secret_scan, warc
+from veilspark.llm import ann_bits, chat_format, decontaminate, langid, line_dedup, pii_labelers, secret_scan, sentencepiece_viterbi, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_sentencepiece": sentencepiece_viterbi.op2_sentencepiece,
     "op3_pii_labelers": pii_labelers.op3_pii_labelers,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_ann_bits": ann_bits.op5_ann_bits,

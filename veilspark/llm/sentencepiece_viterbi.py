@@ -35,9 +35,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 _U = np.uint64
 _BASE = 0xD1342543DE82EF95
+_SALT = 0x9E3779B97F4A7C15
 _FAR = np.int64(1) << 60
 #: Words remembered by a worker; beyond that it starts anew.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_000_000
 
 
 class Vocabulary:
@@ -57,8 +58,8 @@ class Vocabulary:
                 self.byte_ids[int(text[i][3:5], 16)] = i
         if any(BLANK in text[i].lstrip(BLANK) for i in normal):
             raise ValueError("a piece holds a blank after another character; words can't be encoded apart")
-        # In a BPE model scores are ranks: 0, -1, -2, ...
-        self.bpe = bpe if bpe is not None else bool(np.array_equal(np.diff(score[normal]), -np.ones(len(normal) - 1)))
+        # The scores of a BPE model are ranks (0, -1, -2, ...), those of a unigram model logarithms.
+        self.bpe = bpe if bpe is not None else bool(np.all(score[normal] == np.round(score[normal])))
         self.score = score
         self.bytes = [bytes([int(text[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else b" \xe2\x81\x87 " if sp.is_unknown(i) else text[i].replace(BLANK, " ").encode() for i in range(self.size)]
         self.offsets = np.concatenate(([0], np.cumsum([len(b) for b in self.bytes])))
@@ -68,6 +69,13 @@ class Vocabulary:
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(self.usable, dtype=np.int64)[order]
         self.longest = max(len(text[i]) for i in self.usable)
+        self.salts = np.arange(self.longest + 1).astype(_U) * _U(_SALT)
+        self.seen = np.zeros(1 << 22, dtype=bool)  # by the first bits of a hash; most substrings stop here
+        self.seen[(self.keys >> _U(42)).astype(np.int64)] = True
+        self.slot = np.zeros(1 << 22, dtype=np.int32)  # place of one of a slot's keys
+        self.slot[(self.keys >> _U(42)).astype(np.int64)] = np.arange(len(self.keys))
+        first = self.keys >> _U(42)
+        self.shared_slot = np.isin(first, first[1:][first[1:] == first[:-1]])  # by key: whether others have its slot
 
     def _split(self, text: list[str], score: np.ndarray, normal: list[int]) -> None:
         """BPE: by which last merge each piece is made, and at which rank; pieces that merges can't reach are left out."""
@@ -99,10 +107,30 @@ class Vocabulary:
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Ids of pieces by hash; -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        at = self.slot[(h >> _U(42)).astype(np.int64)].astype(np.int64)
+        miss = np.flatnonzero((self.keys[at] != h) & self.shared_slot[at])
+        if len(miss):
+            at[miss] = np.minimum(np.searchsorted(self.keys, h[miss]), len(self.keys) - 1)
         return np.where(self.keys[at] == h, self.ids[at], -1)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_asked", "_answer")}
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """`_compatible`, remembered in a direct-mapped table of answers."""
+        if "_asked" not in self.__dict__:
+            self._asked, self._answer = np.full(1 << 20, -1, dtype=np.int64), np.zeros(1 << 20, dtype=bool)
+        pair = a * (self.size + 1) + b
+        slot = ((pair.astype(_U) * _U(_SALT)) >> _U(44)).astype(np.int64)
+        good = self._answer[slot]
+        new = np.flatnonzero(self._asked[slot] != pair)
+        if len(new):
+            good[new] = self._compatible(a[new], b[new])
+            self._asked[slot[new]] = -1  # of several pairs for a slot the last stays, with its own answer
+            self._asked[slot[new]], self._answer[slot[new]] = pair[new], good[new]
+        return good
+
+    def _compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether BPE keeps the pieces `a` and `b` whole when they stand side by side.
 
         The last merges of both are undone, later one first; in no state may the two symbols at the boundary merge before the
@@ -124,22 +152,28 @@ class Vocabulary:
             live, x, y, limit = live[more], x[more], y[more], limit[more]
         return good
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word (with U+2581 for blanks); words of equal length advance together."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
-        lengths = np.array([len(w) for w in words])
+    def encode_words(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids) of words given as code points, U+2581 for blanks; words of equal length advance together."""
+        lengths = np.diff(offsets)
+        order, pieces, sizes = [], [], []
         for n in np.unique(lengths):
-            if n == 0:
-                continue
-            group = np.flatnonzero(lengths == n)
-            for at in range(0, len(group), max(1, 200_000 // n)):
-                part = group[at : at + max(1, 200_000 // n)]
-                chars = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(part), n)
-                for i, ids in zip(part, self._viterbi(chars), strict=True):
-                    out[i] = ids
-        return out
-
-    def _viterbi(self, chars: np.ndarray) -> list[np.ndarray]:
+            group, step = np.flatnonzero(lengths == n), max(1, 100_000 // max(1, n))
+            for at in range(0, len(group), step):
+                part = group[at : at + step]
+                ids, count = self._viterbi(points[offsets[part][:, None] + np.arange(n)])
+                order.append(part)
+                pieces.append(ids)
+                sizes.append(count)
+        if not order:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        order, ids, count = np.concatenate(order), np.concatenate(pieces), np.concatenate(sizes)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        out, count = ragged(ids, np.concatenate(([0], np.cumsum(count))), place)
+        return out.astype(np.int32), count
+
+    def _viterbi(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the rows of a matrix."""
         rows, n = chars.shape
         up = _powers(n + 1)
         sums = np.zeros((rows, n + 1), dtype=_U)
@@ -149,34 +183,60 @@ class Vocabulary:
         best[:, 0] = 0
         last = np.full((rows, n + 1), self.size, dtype=np.int64)
         back = np.zeros((rows, n + 1), dtype=np.int64)
-        known = np.empty((rows, n), dtype=bool)
+        every = np.arange(rows)
         for j in range(1, n + 1):
-            for size in range(min(j, self.longest), 0, -1):
-                i = j - size
-                ids = self.lookup(mix64(sums[:, j] - sums[:, i] * up[size] + _U(size)))
-                if size == 1:
-                    known[:, i] = ids >= 0
-                hit = np.flatnonzero((ids >= 0) & np.isfinite(best[:, i]))
-                if self.bpe and len(hit) and i:
-                    hit = hit[self.compatible(last[hit, i], ids[hit])]
-                score = best[hit, i] + (0.0 if self.bpe else self.score[ids[hit]])
-                better = score > best[hit, j]
-                hit = hit[better]
-                best[hit, j], last[hit, j], back[hit, j] = score[better], ids[hit], i
-            lone = np.flatnonzero(~known[:, j - 1] & ~np.isfinite(best[:, j]))
+            sizes = np.arange(min(j, self.longest), 0, -1)
+            starts = j - sizes
+            h = sums[:, j : j + 1] - sums[:, starts] * up[sizes] + self.salts[sizes]
+            r, c = np.nonzero(self.seen[(h >> _U(42)).astype(np.int64)])
+            ids = self.lookup(h[r, c])
+            hit = np.flatnonzero(ids >= 0)
+            r, c, ids = r[hit], c[hit], ids[hit]
+            known = np.zeros(rows, dtype=bool)
+            known[r[sizes[c] == 1]] = True
+            live = np.isfinite(best[r, starts[c]])
+            if self.bpe:
+                live &= self.compatible(last[r, starts[c]], ids)
+            r, c, ids = r[live], c[live], ids[live]
+            score = np.full((rows, len(sizes)), -np.inf)
+            score[r, c] = best[r, starts[c]] + (0.0 if self.bpe else self.score[ids])
+            piece = np.full((rows, len(sizes)), self.size, dtype=np.int64)
+            piece[r, c] = ids
+            top = score.argmax(axis=1)
+            best[:, j], last[:, j], back[:, j] = score[every, top], piece[every, top], starts[top]
+            lone = np.flatnonzero(~known & ~np.isfinite(best[:, j]))
             best[lone, j], last[lone, j], back[lone, j] = best[lone, j - 1] + (0.0 if self.bpe else self.score.min() - 10), self.size, j - 1
-        out = []
-        for r in range(rows):
-            ids, j = [], n
-            while j:
-                if last[r, j] == self.size:
-                    raw = chr(chars[r, j - 1]).encode("utf-8", "surrogatepass")
-                    ids.extend([self.byte_ids[b] for b in reversed(raw)] if self.byte_ids[0] >= 0 else [self.unk])
-                else:
-                    ids.append(last[r, j])
-                j = back[r, j]
-            out.append(np.array(ids[::-1], dtype=np.int64))
-        return out
+        at, steps = np.full(rows, n), []
+        while at.any():  # all words follow their backpointers together
+            on = at > 0
+            lone = on & (last[every, at] == self.size)
+            steps.append(np.where(on, np.where(lone, -2 - chars[every, np.maximum(at - 1, 0)].astype(np.int64), last[every, at]), -1))
+            at = np.where(on, back[every, at], 0)
+        if not steps:
+            return np.zeros(0, np.int64), np.zeros(rows, np.int64)
+        ids = np.stack(steps[::-1], axis=1)
+        count = (ids != -1).sum(axis=1)
+        flat = ids[ids != -1]
+        if (flat < 0).any():
+            flat, width = self._bytes_of(flat)
+            edges = np.concatenate(([0], np.cumsum(width)))
+            ends = np.cumsum(count)
+            count = edges[ends] - edges[ends - count]
+        return flat, count
+
+    def _bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with -2 - c, for a character c without a piece, replaced by its byte pieces, and how many each became."""
+        table = {i: [self.byte_ids[b] for b in chr(-2 - i).encode("utf-8", "surrogatepass")] if self.byte_ids[0] >= 0 else [self.unk] for i in np.unique(ids[ids < 0]).tolist()}
+        width = np.ones(len(ids), dtype=np.int64)
+        for i, new in table.items():
+            width[ids == i] = len(new)
+        out = np.repeat(ids, width)
+        first = np.cumsum(width) - width
+        for i, new in table.items():
+            at = first[ids == i]
+            for k, b in enumerate(new):
+                out[at + k] = b
+        return out, width
 
 
 @lru_cache(maxsize=8)
@@ -190,7 +250,7 @@ def _hash_of(piece: str) -> int:
     h = 0
     for c in piece:
         h = (h * _BASE + ord(c) + 1) & ((1 << 64) - 1)
-    return int(mix64(np.array([(h + len(piece)) & ((1 << 64) - 1)], dtype=_U))[0])
+    return (h + len(piece) * _SALT) & ((1 << 64) - 1)
 
 
 def ragged(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,16 +272,18 @@ class Encoder:
         self.known, self.where = np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64)
         self.tokens, self.offsets = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
-    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > KNOWN_WORDS:
-            self.forget()
-        ids = self.vocabulary.encode_words([w.decode("utf-8", "surrogatepass").replace(" ", BLANK) for w in words])
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """`hashes` ascend and are new."""
+        raw, sizes = ragged(data, np.stack((starts, ends), axis=1).ravel(), np.arange(0, 2 * len(starts), 2))
+        lead = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+        points = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        points = np.where(points == 0x20, np.uint32(ord(BLANK)), points)
+        ids, counts = self.vocabulary.encode_words(points, lead[np.concatenate(([0], np.cumsum(sizes)))])
         first = len(self.offsets) - 1
-        self.tokens = np.concatenate([self.tokens, *ids]).astype(np.int32)
-        self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum([len(i) for i in ids])))
-        known = np.concatenate((self.known, hashes))
-        order = np.argsort(known)
-        self.known, self.where = known[order], np.concatenate((self.where, np.arange(first, first + len(words))))[order]
+        self.tokens = np.concatenate((self.tokens, ids))
+        self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(counts)))
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.where = np.insert(self.known, at, hashes), np.insert(self.where, at, np.arange(first, first + len(hashes)))
 
     def _run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text); every text starts with the dummy blank."""
@@ -243,8 +305,7 @@ class Encoder:
             if len(self.known) + len(fresh) > KNOWN_WORDS:
                 self.forget()
                 fresh = np.arange(len(distinct))
-            raw = data.tobytes()
-            self._learn(distinct[fresh], [raw[starts[i] : ends[i]] for i in first[fresh]])
+            self._learn(distinct[fresh], data, starts[first[fresh]], ends[first[fresh]])
         rows = self.where[np.searchsorted(self.known, distinct)][inverse]
         ids, sizes = ragged(self.tokens, self.offsets, rows)
         total = np.concatenate(([0], np.cumsum(sizes)))
@@ -254,9 +315,8 @@ class Encoder:
     def encode(self, column: pa.Array) -> pa.Array:
         """list<int32> of the ids; null for null."""
         whole = pc.replace_substring(column.cast(pa.large_string()), BLANK, " ")
-        blank = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), whole, pa.scalar(" ", pa.large_string()), null_handling="skip") if False else None
-        text = pc.if_else(pc.equal(pc.binary_length(whole), 0), whole, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), whole, pa.scalar("", pa.large_string())))
-        del blank
+        first = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), whole, pa.scalar("", pa.large_string()))  # the dummy blank
+        text = pc.if_else(pc.equal(pc.binary_length(whole), 0), whole, first)
         text = text.fill_null("")
         _, where, data = text.buffers()
         where = np.frombuffer(where, dtype=np.int64)[text.offset : text.offset + len(text) + 1]
