@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilspark.llm import ann_bits, chat_format, decontaminate, langid, line_dedup, pii_labelers, secret_scan, sentencepiece_viterbi, warc
+from veilspark.llm import ann_bits, chat_format, decontaminate, jaccard_join, langid, line_dedup, pii_labelers, secret_scan, sentencepiece_viterbi, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_chat_format": chat_format.op8_chat_format,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_langid": langid.op10_langid,
 }
 
