@@ -216,6 +216,7 @@ def class_links(members: DataFrame, percent: int) -> DataFrame:
     left = rest.select("comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), "d1", "d2", "shingles")
     right = labelled.join(F.broadcast(blocks), "comp").select("comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("chunk").cast("long").alias("chunk"), "d1", "d2", "shingles")
     keys = ["comp", "block", "chunk"]
+    left, right = left.toDF(*left.columns), right.select(*[F.col(c).alias(f"_{c}") for c in right.columns]).toDF(*right.columns)
     far = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: _join_blocks(a, b, percent), LINK)
     return links.unionByName(near).unionByName(shared.kept(far, "blocklinks"))
 
