@@ -38,7 +38,9 @@ _BASE = 0xD1342543DE82EF95
 _SALT = 0x9E3779B97F4A7C15
 _FAR = np.int64(1) << 60
 #: Words remembered by a worker; beyond that it starts anew.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 500_000
+#: Arrow batches are handled in parts of about so many bytes.
+PART_BYTES = 2 << 20
 
 
 class Vocabulary:
@@ -70,12 +72,24 @@ class Vocabulary:
         self.keys, self.ids = keys[order], np.array(self.usable, dtype=np.int64)[order]
         self.longest = max(len(text[i]) for i in self.usable)
         self.salts = np.arange(self.longest + 1).astype(_U) * _U(_SALT)
-        self.seen = np.zeros(1 << 22, dtype=bool)  # by the first bits of a hash; most substrings stop here
-        self.seen[(self.keys >> _U(42)).astype(np.int64)] = True
+        self._index()
+
+    def _index(self) -> None:
+        """Tables by the first bits of a hash, made where they are used."""
+        slots = (self.keys >> _U(42)).astype(np.int64)
+        self.seen = np.zeros(1 << 22, dtype=bool)  # most substrings stop here
+        self.seen[slots] = True
         self.slot = np.zeros(1 << 22, dtype=np.int32)  # place of one of a slot's keys
-        self.slot[(self.keys >> _U(42)).astype(np.int64)] = np.arange(len(self.keys))
-        first = self.keys >> _U(42)
-        self.shared_slot = np.isin(first, first[1:][first[1:] == first[:-1]])  # by key: whether others have its slot
+        self.slot[slots] = np.arange(len(self.keys))
+        self.shared_slot = np.isin(slots, slots[1:][slots[1:] == slots[:-1]])  # by key: whether others have its slot
+        self.asked, self.answer = np.full(1 << 20, -1, dtype=np.int64), np.zeros(1 << 20, dtype=bool)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "slot", "shared_slot", "asked", "answer")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._index()
 
     def _split(self, text: list[str], score: np.ndarray, normal: list[int]) -> None:
         """BPE: by which last merge each piece is made, and at which rank; pieces that merges can't reach are left out."""
@@ -113,21 +127,16 @@ class Vocabulary:
             at[miss] = np.minimum(np.searchsorted(self.keys, h[miss]), len(self.keys) - 1)
         return np.where(self.keys[at] == h, self.ids[at], -1)
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_asked", "_answer")}
-
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """`_compatible`, remembered in a direct-mapped table of answers."""
-        if "_asked" not in self.__dict__:
-            self._asked, self._answer = np.full(1 << 20, -1, dtype=np.int64), np.zeros(1 << 20, dtype=bool)
         pair = a * (self.size + 1) + b
         slot = ((pair.astype(_U) * _U(_SALT)) >> _U(44)).astype(np.int64)
-        good = self._answer[slot]
-        new = np.flatnonzero(self._asked[slot] != pair)
+        good = self.answer[slot]
+        new = np.flatnonzero(self.asked[slot] != pair)
         if len(new):
             good[new] = self._compatible(a[new], b[new])
-            self._asked[slot[new]] = -1  # of several pairs for a slot the last stays, with its own answer
-            self._asked[slot[new]], self._answer[slot[new]] = pair[new], good[new]
+            self.asked[slot[new]] = -1  # of several pairs for a slot the last stays, with its own answer
+            self.asked[slot[new]], self.answer[slot[new]] = pair[new], good[new]
         return good
 
     def _compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -368,10 +377,12 @@ def _mapped(rows: DataFrame, vocabulary: Vocabulary, source: str, made: list[tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(source))
-            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in fields] + make(encoder, column)
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
+        for whole in batches:
+            step = max(1, int(whole.num_rows * PART_BYTES / max(1, whole.nbytes)))  # temporaries are many times a part's size
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                columns = [batch.column(batch.schema.get_field_index(f.name)) for f in fields] + make(encoder, batch.column(batch.schema.get_field_index(source)))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return rows.mapInArrow(run, schema)
 

@@ -42,7 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/veilspark-{what}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/veilspark-{what}-{uuid.uuid4().hex[:12]}"
+    if not path.partition(":")[1] or path.startswith("file:"):  # a single machine's folder is cleared at exit; stores have their own rules
+        atexit.register(shutil.rmtree, "/" + path.removeprefix("file:").lstrip("/"), True)
+    return path
 
 
 def kept(df: DataFrame, what: str) -> DataFrame:
