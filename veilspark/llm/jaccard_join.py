@@ -1,11 +1,11 @@
-"""N-gram Jaccard join of documents: exact components of documents whose shingle sets have a similarity of at least `percent` / 100.
+"""N-gram Jaccard join of documents: exact components of documents whose shingle sets have a similarity of at least PERCENT / 100.
 
 Two levels of Voronoi regions of the Jaccard metric:
 
 1. Over the corpus the pivots are the one-shingle sets.  A document's distance to the pivot {g} is below 1 exactly if it holds g, and
    alike for all it holds, so ties go by one global order of shingles.  The home region is the first; the window of the triangle inequality
-   is that of prefix filtering: a document of n shingles is replicated to its first n - ceil(percent * n / 100) + 1 regions, and
-   two documents that link meet in at least one.  (Documents as pivots can't split a corpus: nearly all distances are 1, and
+   is that of prefix filtering: a document of n shingles is replicated to its first n - ceil(0.75 n) + 1 + floor(n / 12) regions,
+   and two documents that link meet in a known number of them (`edges`).  (Documents as pivots can't split a corpus: nearly all distances are 1, and
    every window would hold everything.)  The order puts retired shingles last: those counted in `RETIRE` or more distinct
    sets, so that a passage in a third of all documents does not make a region.
 2. A region is a star of candidate edges, never all pairs; connected stars form closed groups.  Each group of distinct sets is joined
@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspark.llm import shared
@@ -96,21 +97,37 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
 
-def edges(docs: DataFrame, retired: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Distinct candidate edges (u, v), u > v, between classes (by d1) or with a retired shingle's own node."""
+def _need(n):
+    """Linked sets have at least so many common shingles among the regions of both, whatever the partner's size (columns or ints)."""
+    return 1 + _most(n) // 12 if isinstance(n, int) else F.floor(_most(n) / 12) + 1
+
+
+def _most(n):
+    return -(-PERCENT * n // 100) if isinstance(n, int) else F.ceil(n * PERCENT / 100)
+
+
+def edges(docs: DataFrame, retired: np.ndarray, width: int) -> DataFrame:
+    """Distinct candidate edges (u, v), u > v, between classes (by d1) or with a retired shingle's own node.
+
+    A set of n shingles enters k = n - ceil(0.75 n) + 1 + floor(n / 12) regions.  At most n - ceil(0.75 n) of its first k can be missing
+    in a set it links with, so the two share `_need` regions or more, and what shares fewer drops out.  Of the rest each region is a
+    star around its smallest class.  Star edges with few regions are left out, unless the regions a class loses by that
+    could hide a link (half of `_need`): if none of the regions of a linked pair keeps both, one of the two has lost that many.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sets in _sets(batches, width):
-            regions, classes, hot = [], [], []
+            regions, classes, sizes, hot = [], [], [], []
             for s in sets:
-                if len(s) == 0:
+                n = len(s)
+                if n == 0:
                     continue
                 d = _digest(s)[0]
                 if d in seen:
                     continue
                 seen.add(d)
-                k = len(s) - -(-percent * len(s) // 100) + 1
+                k = n - _most(n) + 1 + n // 12
                 if len(retired):
                     late = retired[np.minimum(np.searchsorted(retired, s), len(retired) - 1)] == s
                     s, late = np.concatenate((s[~late], s[late]))[:k], np.arange(k) >= (~late).sum()
@@ -118,20 +135,30 @@ def edges(docs: DataFrame, retired: np.ndarray, width: int, percent: int) -> Dat
                     s, late = s[:k], np.zeros(k, dtype=bool)
                 regions.append(s)
                 classes.append(np.full(k, d, dtype=np.int64))
+                sizes.append(np.full(k, n, dtype=np.int32))
                 hot.append(late)
             if regions:
-                columns = [np.concatenate(regions).view(np.int64), np.concatenate(classes), np.concatenate(hot)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "c", "hot"])
-
-    from pyspark.sql import Window as W
-
-    rows = docs.select("doc_id", "text").mapInArrow(run, "g long, c long, hot boolean")
-    # A retired shingle's region needs no meeting place: its node stands in the edge.  Other regions are small.
-    rows = rows.withColumn("k", F.when(F.col("hot"), F.xxhash64("g", "c")).otherwise(F.col("g")))
-    star = rows.withColumn("first", F.min("c").over(W.partitionBy("k")))
-    other = F.when(F.col("hot"), F.xxhash64(F.lit("region"), "g")).otherwise(F.col("first"))
-    pairs = star.select("c", other.alias("o")).where("c <> o")
-    return pairs.select(F.greatest("c", "o").alias("u"), F.least("c", "o").alias("v")).distinct()
+                columns = [np.concatenate(regions).view(np.int64), np.concatenate(classes), np.concatenate(sizes), np.concatenate(hot)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "c", "n", "hot"])
+
+    def shared_regions(rows: DataFrame) -> DataFrame:
+        """Rows of regions with two classes or more, with the smallest class.  A retired shingle's region needs no meeting place."""
+        keyed = rows.withColumn("k", F.when(F.col("hot"), F.xxhash64("g", "c")).otherwise(F.col("g")))
+        region = W.partitionBy("k")
+        met = keyed.withColumn("first", F.min("c").over(region)).withColumn("last", F.max("c").over(region))
+        return met.where(F.col("hot") | (F.col("first") < F.col("last"))).drop("k", "last")
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, "g long, c long, n int, hot boolean")
+    met = shared.kept(shared_regions(rows).drop("first"), "regions")
+    strong = met.groupBy("c").agg(F.count(F.lit(1)).alias("s"), F.max("n").alias("n")).where(F.col("s") >= _need(F.col("n"))).select("c")
+    met = shared_regions(met.join(shared.if_small(shared.kept(strong, "strong")), "c", "left_semi"))
+    star = met.select("c", "n", "hot", F.when(F.col("hot"), F.xxhash64(F.lit("region"), "g")).otherwise(F.col("first")).alias("o"))
+    star = shared.kept(star.groupBy("c", "n", "hot", "o").agg(F.count(F.lit(1)).alias("w")), "stars")
+    safe = F.col("hot") | (F.col("o") == F.col("c")) | (F.col("w") * 2 >= _need(F.col("n")))
+    lost = star.groupBy("c").agg(F.sum("w").alias("total"), F.sum(F.when(safe, 0).otherwise(F.col("w"))).alias("lost"))
+    star = star.join(lost, "c").where(F.col("total") >= _need(F.col("n")))
+    star = star.where((safe | (F.col("lost") * 2 >= _need(F.col("n")))) & (F.col("c") != F.col("o")))
+    return star.select(F.greatest("c", "o").alias("u"), F.least("c", "o").alias("v")).distinct()
 
 
 def components(edges: DataFrame, nodes: list[str] | None = None) -> DataFrame:
@@ -221,7 +248,7 @@ def class_links(members: DataFrame, percent: int) -> DataFrame:
     return links.unionByName(near).unionByName(shared.kept(far, "blocklinks"))
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     sketch = shared.kept(sketches(docs, width), "sketch")
@@ -229,7 +256,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     retired = np.sort(np.array([r["g"] for r in heavy.orderBy(F.desc("c"), "g").limit(RETIRED_MOST).collect()], dtype=np.int64).view(np.uint64))
     rows = sketch.where(F.col("n").isNotNull()).select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")
 
-    groups = components(edges(docs, retired, width, percent)).select(F.col("node").alias("d1"), F.col("label").alias("comp"))
+    groups = components(edges(docs, retired, width)).select(F.col("node").alias("d1"), F.col("label").alias("comp"))
     classes = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
     classes = classes.join(groups, "d1")
     alone = classes.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("comp")
@@ -245,7 +272,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     members = texts.select("comp", "d1", "d2", "text").mapInArrow(run, "comp long, d1 long, d2 long, shingles binary")
     members = shared.kept(members.dropDuplicates(["d1", "d2"]), "members")
-    links = class_links(members, percent)
+    links = class_links(members, PERCENT)
     pairs = links.select(F.xxhash64("a1", "a2").alias("u"), F.xxhash64("b1", "b2").alias("v")).where("u <> v")
     label = components(pairs)
 
@@ -257,9 +284,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     return out.select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The document with the smallest id of each component; columns as they were."""
-    found = shared.kept(jaccard_components(docs, width, percent), "components")
+    found = shared.kept(jaccard_components(docs, width), "components")
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     out = docs.join(shared.if_small(shared.kept(gone, "gone")), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
     repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
