@@ -107,7 +107,7 @@ def _most(n):
 
 
 def edges(docs: DataFrame, retired: np.ndarray, width: int) -> DataFrame:
-    """Distinct candidate edges (u, v), u > v, between classes (by d1) or with a retired shingle's own node.
+    """Distinct candidate edges (u, v), u > v, between classes (by d1).
 
     A set of n shingles enters k = n - ceil(0.75 n) + 1 + floor(n / 12) regions.  At most n - ceil(0.75 n) of its first k can be missing
     in a set it links with, so the two share `_need` regions or more, and what shares fewer drops out.  Of the rest each region is a
@@ -141,45 +141,48 @@ def edges(docs: DataFrame, retired: np.ndarray, width: int) -> DataFrame:
                 columns = [np.concatenate(regions).view(np.int64), np.concatenate(classes), np.concatenate(sizes), np.concatenate(hot)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "c", "n", "hot"])
 
-    def shared_regions(rows: DataFrame) -> DataFrame:
-        """Rows of regions with two classes or more, with the smallest class.  A retired shingle's region needs no meeting place."""
-        keyed = rows.withColumn("k", F.when(F.col("hot"), F.xxhash64("g", "c")).otherwise(F.col("g")))
-        region = W.partitionBy("k")
-        met = keyed.withColumn("first", F.min("c").over(region)).withColumn("last", F.max("c").over(region))
-        return met.where(F.col("hot") | (F.col("first") < F.col("last"))).drop("k", "last")
+    def met(rows: DataFrame) -> DataFrame:
+        """Rows of regions with two classes or more.  A retired shingle's region has many; it needs no meeting place."""
+        region = W.partitionBy(F.when(F.col("hot"), F.xxhash64("g", "c")).otherwise(F.col("g")))
+        seen = rows.withColumn("first", F.min("c").over(region)).withColumn("last", F.max("c").over(region))
+        return seen.where(F.col("hot") | (F.col("first") < F.col("last"))).drop("last")
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "g long, c long, n int, hot boolean")
-    met = shared.kept(shared_regions(rows).drop("first"), "regions")
-    strong = met.groupBy("c").agg(F.count(F.lit(1)).alias("s"), F.max("n").alias("n")).where(F.col("s") >= _need(F.col("n"))).select("c")
-    met = shared_regions(met.join(shared.if_small(shared.kept(strong, "strong")), "c", "left_semi"))
-    star = met.select("c", "n", "hot", F.when(F.col("hot"), F.xxhash64(F.lit("region"), "g")).otherwise(F.col("first")).alias("o"))
-    star = shared.kept(star.groupBy("c", "n", "hot", "o").agg(F.count(F.lit(1)).alias("w")), "stars")
-    safe = F.col("hot") | (F.col("o") == F.col("c")) | (F.col("w") * 2 >= _need(F.col("n")))
+    both = shared.kept(met(rows).drop("first"), "regions")
+    strong = both.groupBy("c").agg(F.count(F.lit(1)).alias("s"), F.max("n").alias("n")).where(F.col("s") >= _need(F.col("n"))).select("c")
+    both = both.join(shared.if_small(shared.kept(strong, "strong")), "c", "left_semi")
+    hot = both.where("hot")
+    centre = shared.if_small(shared.kept(hot.groupBy("g").agg(F.min("c").alias("first")), "centres"))  # combined before the shuffle
+    star = met(both.where("NOT hot")).unionByName(hot.join(centre, "g")).select("c", "n", F.col("first").alias("o"))
+    star = shared.kept(star.groupBy("c", "n", "o").agg(F.count(F.lit(1)).alias("w")), "stars")
+    safe = (F.col("o") == F.col("c")) | (F.col("w") * 2 >= _need(F.col("n")))
     lost = star.groupBy("c").agg(F.sum("w").alias("total"), F.sum(F.when(safe, 0).otherwise(F.col("w"))).alias("lost"))
     star = star.join(lost, "c").where(F.col("total") >= _need(F.col("n")))
     star = star.where((safe | (F.col("lost") * 2 >= _need(F.col("n")))) & (F.col("c") != F.col("o")))
     return star.select(F.greatest("c", "o").alias("u"), F.least("c", "o").alias("v")).distinct()
 
 
-def components(edges: DataFrame, nodes: list[str] | None = None) -> DataFrame:
-    """(node, label) of each node of (u, v) edges: smallest labels spread along edges and labels are looked up in labels until
-    nothing changes.  Every round is written to the shared folder."""
-    spark = edges.sparkSession
-    both = shared.kept(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = shared.kept(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
-    old: list[str] = []
-    while True:
-        seen = both.join(labels, both["u"] == labels["node"]).groupBy(F.col("v").alias("n")).agg(F.min("label").alias("m"))
-        near = labels.join(seen, labels["node"] == seen["n"], "left").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        up = near.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        step = near.join(up, near["label"] == up["_n"], "left").select("node", "was", F.least("label", "_l").alias("label"))
-        step = shared.kept(step, "labels")
-        changed = step.where("label <> was").limit(1).count()
-        old += labels.inputFiles()[:1]
-        labels = step.select("node", "label")
-        if not changed:
-            break
-    shared.forget(spark, *{f.rsplit("/", 1)[0] for f in old})
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of each node of (u, v) edges; nodes of a component have one label, a node of it.
+
+    Every node hooks to the smallest of itself and its neighbours, edges are taken over to the hooked nodes, loops and
+    repeats go, until no edge is left.  The edge to the node it hooks to keeps a node's component whole.  Nodes are hashes, so chains
+    of hooks are short and edges shrink by a factor each round.  Every round is written to the shared folder.
+    """
+    edges = shared.kept(edges.select("u", "v").where("u <> v").distinct(), "edges")
+    labels = None
+    while labels is None or edges.limit(1).count():
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hooks = shared.kept(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("hook")), "hooks")
+        at = lambda name: hooks.select(F.col("node").alias(f"{name}_"), F.col("hook").alias(f"{name}_hook"))  # noqa: B023, E731
+        moved = edges.join(at("u"), F.col("u") == F.col("u_")).join(at("v"), F.col("v") == F.col("v_"))
+        moved = moved.select(F.greatest("u_hook", "v_hook").alias("u"), F.least("u_hook", "v_hook").alias("v")).where("u <> v").distinct()
+        if labels is None:
+            labels = hooks.select("node", F.col("hook").alias("label"))
+        else:
+            step = labels.join(at("l"), F.col("label") == F.col("l_"), "left")
+            labels = shared.kept(step.select("node", F.coalesce("l_hook", "label").alias("label")), "labels")
+        edges = shared.kept(moved, "edges")
     return labels
 
 
