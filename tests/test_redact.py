@@ -31,8 +31,8 @@ CASES = [
     ("", ["NL"], set(), {"EMAIL"}),
     ("mail me@example.org or @handle_1", ["NL"], {"EMAIL", "SOCIAL_HANDLE"}, set()),
     ('{"geboortedatum": "01/02/1990"}', ["NL"], {"DOB"}, set()),
-    ("name,dob\nA,01/02/1990", ["NL"], set(), {"DOB"}),  # two columns are never recognised
-    ("name|dob|x\nA|01/02/1990|z", ["NL"], {"DOB"}, set()),
+    ("name,born\nA,01/02/1990", ["NL"], set(), {"DOB"}),  # two columns are never recognised
+    ("name|born|x\nA|01/02/1990|z", ["NL"], {"DOB"}, set()),
 ]
 
 
