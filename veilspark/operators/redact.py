@@ -55,11 +55,13 @@ def original_offset(where: Column, offset: Column) -> Column:
     return F.when(where.isNull(), offset).when(offset < n, F.get(where, offset)).otherwise(F.get(where, n - 1) + offset - n + 1)
 
 
-def scan(text: Column, catalog: Catalog) -> Column:
-    """array of match rows of all rules, in rule order."""
+def scan(text: Column, catalog: Catalog, has_digit: Column) -> Column:
+    """array of match rows of all rules, in rule order.  A rule's regex runs only on texts with the literal and the digit it asks for."""
+    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
 
     def of_rule(rule: Column) -> Column:
-        return F.transform(match_spans(text, rule["regex"]), lambda x: F.struct(
+        possible = (has_digit | ~rule["digit"]) & (rule["literal"].isNull() | F.contains(text, rule["literal"]))
+        return F.transform(F.when(possible, match_spans(text, rule["regex"])).otherwise(none), lambda x: F.struct(
             rule["type"].alias("type"), rule["country"].alias("country"), rule["validator"].alias("validator"), F.when(rule["required"], rule["needs"]).alias("needs"),
             rule["required"].alias("required"), rule["rule"].alias("rank"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"),
             left_context(text, x["s"], CONTEXT).alias("before"), right_context(text, x["e"], CONTEXT).alias("after"),
@@ -125,7 +127,8 @@ class Redactor:
             df = df.withColumn("_vs_t", F.coalesce(F.col("_vs_u.nfc"), whole, F.lit(""))).withColumn("_vs_map", F.col("_vs_u.map")).drop("_vs_u")
         else:
             df = df.withColumn("_vs_t", F.coalesce(whole, F.lit(""))).withColumn("_vs_map", F.lit(None).cast("array<int>"))
-        df = df.withColumn("_vs_m", scan(F.col("_vs_t"), self.catalog))
+        df = df.withColumn("_vs_d", F.col("_vs_t").rlike(r"(?U)\d"))
+        df = df.withColumn("_vs_m", scan(F.col("_vs_t"), self.catalog, F.col("_vs_d"))).drop("_vs_d")
         df = df.withColumn("_vs_j", judged(F.col("_vs_m"), names)).drop("_vs_m")
         df = df.withColumn("_vs_c", F.concat(candidates(F.col("_vs_j")), structural_dates(F.col("_vs_t")).cast(f"array<{CANDIDATE}>"))).drop("_vs_j")
         df = df.withColumn("_vs_r", resolved(F.col("_vs_c"))).drop("_vs_c")

@@ -35,9 +35,15 @@ def _add(name: str, query: Query, sql: str | None = None) -> None:
         ORACLES[name] = sql
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Scans are bound by CPU: a table in fewer partitions than there are cores is dealt out; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with at least one detection by the rules of four countries and the shared ones."""
-    found = Redactor.of(["NL", "BE", "DE", "FR"]).redact(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = Redactor.of(["NL", "BE", "DE", "FR"]).redact(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.where(F.size("detections") > 0).select("doc_id", F.size("detections").alias("n_detections"), "redacted_text")
 
 
@@ -269,7 +275,7 @@ def _shared_redactor() -> Redactor:
 
 def _redacted(table: str, key: list[str], text: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = _shared_redactor().redact(_table(spark, sf_dir, table).select(*key, text), text)
+        found = _shared_redactor().redact(_spread(_table(spark, sf_dir, table).select(*key, text)), text)
         return found.select(*key, F.size("detections").cast("long").alias("n_detections"), F.length("redacted_text").cast("long").alias("redacted_chars"))
 
     return query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from veilspark.sources.catalog_national import NATIONAL
 from veilspark.sources.catalog_shared import SHARED
 
-ROW = "struct<rule:int,country:string,ordinal:int,type:string,regex:string,validator:string,needs:array<string>,required:boolean>"
+ROW = "struct<rule:int,country:string,ordinal:int,type:string,regex:string,validator:string,needs:array<string>,required:boolean,literal:string,digit:boolean>"
 
 
 class UnknownCountry(ValueError):
@@ -23,6 +24,44 @@ def available_countries() -> list[str]:
     return sorted(NATIONAL)
 
 
+def outer_parts(regex: str) -> list[str]:
+    """The top-level alternatives of a regex, with groups left out and classes reduced to `[]`."""
+    parts, depth, i = [""], 0, 0
+    while i < len(regex):
+        c = regex[i]
+        if c == "\\":
+            piece, i = regex[i : i + 2], i + 2
+        elif c == "[":
+            piece, i = "[]", regex.index("]", i + 2) + 1
+        else:
+            piece, i = c, i + 1
+            depth += c == "("
+        if depth == 0:
+            if piece == "|":
+                parts.append("")
+            else:
+                parts[-1] += piece
+        elif piece == ")":
+            depth -= 1
+            parts[-1] += "()" if depth == 0 else ""
+    return parts
+
+
+def required_literal(regex: str) -> str | None:
+    """A text that every match starts with, or None."""
+    parts = outer_parts(regex)
+    found = re.match(r"(?:\\b)?((?:[A-Za-z0-9_@:-]|\\[+.\-])+)([?*{+]?)", parts[0]) if len(parts) == 1 else None
+    if not found:
+        return None
+    plain = re.findall(r"\\?(.)", found[1])
+    return "".join(plain[:-1] if found[2] else plain) or None
+
+
+def requires_digit(regex: str) -> bool:
+    """Whether every match holds a digit."""
+    return all(re.search(r"\\d(?![?*]|\{0)", part) for part in outer_parts(regex))
+
+
 @dataclass(frozen=True)
 class Catalog:
     """Immutable.  `countries` None: all; order of explicit countries is kept and shared rules come last among ties."""
@@ -52,6 +91,7 @@ class Catalog:
                 out.append({
                     "rule": len(out), "country": country, "ordinal": ordinal, "type": kind, "regex": f"(?Ud){regex}", "validator": validator,
                     "needs": sorted({w.lower() for w in words}) if words else None, "required": words is not None,
+                    "literal": required_literal(regex), "digit": requires_digit(regex),
                 })
         return out
 
