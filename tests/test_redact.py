@@ -145,3 +145,19 @@ def test_stream_equals_batch(spark, tmp_path):
         update(redactor.redact(rows), k)
     table = {(r["text"], r["n"]) for r in spark.read.parquet(str(tmp_path / "labels")).collect()}
     assert table == {("a@x.org", 1), ("b@x.org", 2)}
+
+
+def test_recall_and_precision(spark):
+    from veilspark.operators import evaluate
+
+    texts = ["mail a@x.org now", "call nobody", "mail b@x.org and c@x.org"]
+    found = Redactor.of(["NL"]).redact(from_texts(spark, texts)).withColumnRenamed("doc_seq", "doc_id")
+    truth = spark.createDataFrame([(0, "a@x.org", "mail", "NL"), (1, "nobody", "name", "NL"), (2, "b@x.org", "mail", "BE")], "doc_id long, identifier string, category string, country string")
+    bridge = spark.createDataFrame([("mail", "EMAIL")], "category string, entity_type string")
+    hits = {(r["doc_id"], r["hit"]) for r in evaluate.hits(truth, found, bridge).collect()}
+    assert hits == {(0, True), (1, False), (2, True)}
+    table = {(r["category"], r["country"]): (r["total"], r["hits"]) for r in evaluate.recall_table(evaluate.hits(truth, found, bridge)).collect()}
+    assert table[("mail", None)] == (2, 2) and table[(None, "NL")] == (2, 1) and table[(None, None)] == (3, 2)
+    one = spark.createDataFrame([(0.5, 0.25, ["NL", "BE", "NL"])], "p double, r double, c array<string>")
+    got = one.select(evaluate.f1(F.col("p"), F.col("r")), evaluate.combination(F.col("c"))).first()
+    assert got[0] == pytest.approx(1 / 3) and got[1] == "BE + NL"
