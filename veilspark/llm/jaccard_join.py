@@ -150,7 +150,7 @@ def edges(docs: DataFrame, retired: np.ndarray, width: int) -> DataFrame:
     rows = docs.select("doc_id", "text").mapInArrow(run, "g long, c long, n int, hot boolean")
     both = shared.kept(met(rows).drop("first"), "regions")
     strong = both.groupBy("c").agg(F.count(F.lit(1)).alias("s"), F.max("n").alias("n")).where(F.col("s") >= _need(F.col("n"))).select("c")
-    both = both.join(shared.if_small(shared.kept(strong, "strong")), "c", "left_semi")
+    both = shared.kept(both.join(shared.if_small(shared.kept(strong, "strong")), "c", "left_semi"), "strongregions")  # read three times
     hot = both.where("hot")
     centre = shared.if_small(shared.kept(hot.groupBy("g").agg(F.min("c").alias("first")), "centres"))  # combined before the shuffle
     star = met(both.where("NOT hot")).unionByName(hot.join(centre, "g")).select("c", "n", F.col("first").alias("o"))
