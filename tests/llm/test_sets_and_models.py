@@ -102,6 +102,50 @@ def test_jaccard_edges_of_tables(make):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3] and kept.columns == make(rows).columns
 
 
+def rows_of(frame):
+    return sorted(((r["doc_id"], r["text"]) for r in frame.collect()), key=str)
+
+
+def test_keep_one_decides_by_row(make):
+    """Different texts under one id and under null; an id that represents one of its texts but not the other."""
+    a, b, c, d = ("{0}a {0}b {0}c {0}d {0}e {0}f".format(k) for k in "pqrs")
+    near = [" ".join([*(f"w{i}" for i in range(60)), last]) for last in "xy"]
+    rows = [(None, a, None), (None, b, None), (None, b.upper(), None), (None, None, None), (None, None, None), (5, c, None), (5, d, None), (5, d, None)]
+    rows += [(7, "k l m n o p", None), (8, "k l m n o p", None), (9, "k  l m n o p", None), (7, near[0], None), (3, near[1], None), (4, "", None), (4, "", None)]
+    kept = rows_of(jaccard_join.keep_one(make(rows).repartition(3)))
+    b_kept = [r for r in kept if r[0] is None and r[1] in (b, b.upper())]
+    assert len(b_kept) == 1
+    kept.remove(b_kept[0])
+    want = [(None, a), (None, None), (None, None), (5, c), (5, d), (7, "k l m n o p"), (3, near[1]), (4, ""), (4, "")]
+    assert kept == sorted(want, key=str)
+
+
+def test_keep_one_equals_brute_force_where_ids_repeat(make):
+    texts = corpus(11, 150)
+    rnd = random.Random(11)
+    rows = [(rnd.choice([None, *range(40)]), t, None) for t in texts]
+    root = components([shingles(t) for t in texts])
+    of = {}
+    for (i, t, _), r in zip(rows, root, strict=True):
+        of.setdefault((r, bool(shingles(t))), []).append((i, t))
+    kept = rows_of(jaccard_join.keep_one(make(rows).repartition(4)))
+    want = 0
+    for (_, linked), group in of.items():
+        least = min(group, key=lambda g: (g[0] is None, g[0] or 0))[0]
+        want += 1 if linked else len(group)
+        assert not linked or len([k for k in kept if k in group and k[0] == least]) >= 1
+    assert len(kept) == want
+
+
+def test_decontaminate_decides_by_row(spark, make):
+    item = "one two three four five six seven"
+    rows = [(1, f"x {item} y", None), (1, "clean text under the same id", None), (None, item, None), (None, "clean text without an id", None), (None, None, None), (2, "clean", None)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.decontaminate(make(rows), bench)
+    assert rows_of(kept) == sorted([(r[0], r[1]) for r in rows if item not in (r[1] or "")], key=str) and kept.columns == make(rows).columns
+    assert decontaminate.decontaminate(make(rows), bench.limit(0)).count() == len(rows)
+
+
 def test_contained(spark, make):
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(3))

@@ -12,8 +12,8 @@ fixed-length MinHash signatures of a whole long document lose short items.
 
 Verification: the exact containment, on the shingles' words, of each candidate pair.
 
-Defined results: null or wordless texts and items match nothing; rows with the same id are the same document or item (the
-largest containment counts; null ids are one id); empty tables give no pairs; further columns are ignored.
+Defined results: null or wordless texts and items match nothing; in `contained`, rows with the same id are the same document or item (the
+largest containment counts; null ids are one id), while `decontaminate` judges each row by its own text; empty tables give no pairs; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,9 +105,12 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, do
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """`docs` without the documents that contain a benchmark item; clean rows pass unchanged."""
-    found = shared.kept(contained(docs, benchmark, threshold).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(shared.if_small(found), docs["doc_id"].eqNullSafe(F.col("_leak")), "left_anti")
+    """`docs` without the rows whose own text contains a benchmark item; clean rows pass unchanged, also where they share the id of one that goes."""
+    keyed = docs.select("*", F.struct(*shared.row_key("t1", "t2")).alias("_row"))
+    found = contained(keyed, benchmark, threshold, doc_id="_row").select("doc_id.t1", "doc_id.t2").distinct().toDF("_t1", "_t2")
+    found = shared.kept(found, "leaks")
+    key = ["_t1", "_t2"]
+    return docs.select("*", *shared.row_key(*key)).join(shared.if_small(found), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ two or more; shingle sets are made again from the texts where they are needed, w
 shingles have 64 bits and those of sets 128.
 
 Defined results: a null or wordless text has 0 shingles and links with nothing, not even with another such text; a text with fewer words than `width` is one
-shingle; rows with repeated ids are documents each, and the smallest id stands for all; null ids are never the smallest unless all
+shingle; rows with repeated ids are documents each (also in `keep_one`), and the smallest id stands for all; null ids are never the smallest unless all
 are null; an empty table gives an empty table.
 """
 
@@ -44,7 +44,7 @@ RETIRE, RETIRED_MOST = 48, 500_000
 COUNT_RUN, COUNT_LEAST = 2_000_000, 4
 CHUNK_BYTES, CHUNK_PIVOTS, BLOCK = 24_000_000, 12, 1000
 
-SKETCH = "doc_id long, n long, d1 long, d2 long, g long, c long"
+SKETCH = "doc_id long, t1 long, t2 long, n long, d1 long, d2 long, g long, c long"
 MEMBER = "part long, d1 long, d2 long, pivot boolean, shingles binary"
 LINK = "a1 long, a2 long, b1 long, b2 long"
 
@@ -64,7 +64,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """A row (doc_id, n, d1, d2) for each document, and rows (g, c): c distinct sets of a run hold shingle g."""
+    """A row (doc_id, t1, t2, n, d1, d2) for each document, and rows (g, c): c distinct sets of a run hold shingle g."""
     shared.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,14 +75,15 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             g, c = np.unique(np.concatenate(list(pool.values())), return_counts=True)
             g, c = g[c >= COUNT_LEAST], c[c >= COUNT_LEAST]
             none = pa.nulls(len(g), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, none, none, pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], names)
 
         names = [f.split()[0] for f in SKETCH.split(", ")]
         for batch, sets in _sets(batches, width):
             digests = [_digest(s) for s in sets]
             n = [len(s) for s in sets]
             none = pa.nulls(len(sets), pa.int64())
-            columns = [batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([d for d, _ in digests], pa.int64()), pa.array([d for _, d in digests], pa.int64()), none, none]
+            own = [batch.column(batch.schema.get_field_index(c)).cast(pa.int64()) for c in ("doc_id", "t1", "t2")]
+            columns = [*own, pa.array(n, pa.int64()), pa.array([d for d, _ in digests], pa.int64()), pa.array([d for _, d in digests], pa.int64()), none, none]
             yield pa.RecordBatch.from_arrays(columns, names)
             for d, s in zip(digests, sets, strict=True):
                 if len(s) and d not in pool:
@@ -94,7 +95,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
         if pool:
             yield counted()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
+    return docs.select("doc_id", "text", *shared.row_key("t1", "t2")).mapInArrow(run, SKETCH)
 
 
 def _need(n):
@@ -251,25 +252,25 @@ def class_links(members: DataFrame, percent: int) -> DataFrame:
     return links.unionByName(near).unionByName(shared.kept(far, "blocklinks"))
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text)."""
+def labels_of(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, t1, t2, n_shingles, label) for each row of `docs`: (t1, t2) is its `shared.row_key`, `label` its component's or null without shingles."""
     spark = docs.sparkSession
     sketch = shared.kept(sketches(docs, width), "sketch")
     heavy = sketch.where(F.col("g").isNotNull()).groupBy("g").agg(F.sum("c").alias("c")).where(F.col("c") >= RETIRE)
     retired = np.sort(np.array([r["g"] for r in heavy.orderBy(F.desc("c"), "g").limit(RETIRED_MOST).collect()], dtype=np.int64).view(np.uint64))
-    rows = sketch.where(F.col("n").isNotNull()).select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")
+    rows = sketch.where(F.col("n").isNotNull()).select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), "d1", "d2")
 
     groups = components(edges(docs, retired, width)).select(F.col("node").alias("d1"), F.col("label").alias("comp"))
-    classes = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
+    classes = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("t1").alias("t1"))  # a row of it; by id, all rows without one would meet
     classes = classes.join(groups, "d1")
     alone = classes.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("comp")
-    asked = shared.kept(classes.join(alone, "comp", "left_semi").select(F.col("doc_id").alias("_id"), "d1", "d2", "comp"), "asked")
-    texts = docs.select("doc_id", "text").join(shared.if_small(asked), F.col("doc_id").eqNullSafe(F.col("_id")))
+    asked = shared.kept(classes.join(alone, "comp", "left_semi").select("t1", "d1", "d2", "comp"), "asked")
+    texts = docs.select("text", shared.row_key("t1", "t2")[0]).join(shared.if_small(asked), "t1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, width):
             want = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            keep = [i for i, (s, w) in enumerate(zip(sets, want, strict=True)) if len(s) and _digest(s) == w]  # an id may have other texts too
+            keep = [i for i, (s, w) in enumerate(zip(sets, want, strict=True)) if len(s) and _digest(s) == w]  # 64 bits of a row's key may be another row's
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["comp", "d1", "d2", "shingles"])
 
@@ -280,20 +281,37 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     label = components(pairs)
 
     labelled = rows.withColumn("node", F.xxhash64("d1", "d2")).join(label, "node", "left")
-    labelled = labelled.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label"))
-    labelled = shared.kept(labelled, "labelled")
+    return labelled.select("doc_id", "t1", "t2", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label"))
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text)."""
+    labelled = shared.kept(labels_of(docs, width).drop("t1", "t2"), "labelled")
     least = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(least, "label", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The document with the smallest id of each component; columns as they were."""
-    found = shared.kept(jaccard_components(docs, width), "components")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(shared.if_small(shared.kept(gone, "gone")), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """One row of each component, that with the smallest id (ties by text hash), and every row without shingles; columns as they were.
+
+    Rows are told apart by id and text, so neither a repeated nor a null id takes other texts with it.  Of rows with the same id and the same text
+    one stays, any of them.
+    """
+    labelled = shared.kept(labels_of(docs, width).where(F.col("label").isNotNull()).select("doc_id", "t1", "t2", "label"), "labelled")
+    first = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2")).alias("first"))
+    first = first.select("label", F.col("first.t1").alias("f1"), F.col("first.t2").alias("f2"))
+    stays = (F.col("t1") == F.col("f1")) & (F.col("t2") == F.col("f2"))
+    gone = shared.kept(labelled.join(first, "label").where(~stays).select("t1", "t2").distinct(), "gone")
+    twice = shared.kept(labelled.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("t1", "t2").join(gone, ["t1", "t2"], "left_anti"), "twice")
+
+    key = ["_t1", "_t2"]
+    among = lambda keys: shared.if_small(keys.toDF(*key))
+    out = docs.select("*", *shared.row_key(*key)).join(among(gone), key, "left_anti")
+    if twice.limit(1).count():
+        repeats = out.join(among(twice), key, "left_semi").dropDuplicates(key)
+        out = out.join(among(twice), key, "left_anti").unionByName(repeats)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -67,6 +67,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(first: str, second: str, doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """128 bits (two columns, never null) of a row's id and text, for tables in which ids repeat or are null."""
+    of = [F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text)]
+    return [F.xxhash64(*of).alias(first), F.xxhash64(F.lit("second"), *of).alias(second)]
+
+
 def lower_ascii(col):
     """A-Z lower-cased, every other character as it is."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
