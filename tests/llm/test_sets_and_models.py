@@ -93,6 +93,24 @@ def test_jaccard_components(make, monkeypatch, chunk, retire):
     assert got == {ids[i]: (len(sets[i]), ids[root[i]]) for i in range(len(ids))}
 
 
+@pytest.mark.parametrize("block", [1000, 7])
+def test_linked_pairs_are_all_links(make, monkeypatch, block):
+    """Every link, also between sets that others connect already; the second case deals groups into blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    texts = corpus(9, 160)
+    made = []
+    for _, data, offsets in runs(pa.array(texts)):
+        made += shingle_sets(data, offsets)
+    sets = {jaccard_join._digest(m): shingles(t) for m, t in zip(made, texts, strict=True) if len(m)}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    got = [((r["a1"], r["a2"]), (r["b1"], r["b2"])) for r in jaccard_join.linked_pairs(make([(1, t, None) for t in texts]).repartition(3)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    root = {a: a for a in sets}
+    for a, b in sorted(want):  # there are more links than connectivity needs
+        root[b] = min(root[b], root[a])
+    assert len(want) > sum(root[a] != a for a in sets)
+
+
 def test_jaccard_edges_of_tables(make):
     assert jaccard_join.jaccard_components(make([(1, "x", None)]).limit(0)).count() == 0
     rows = [(1, "a b c d e f", None), (1, "a b c d e f", None), (None, "a b c d e f", None), (2, None, None), (3, "", None)]

@@ -252,8 +252,37 @@ def class_links(members: DataFrame, percent: int) -> DataFrame:
     return links.unionByName(near).unionByName(shared.kept(far, "blocklinks"))
 
 
-def labels_of(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, t1, t2, n_shingles, label) for each row of `docs`: (t1, t2) is its `shared.row_key`, `label` its component's or null without shingles."""
+def _pairs_of_blocks(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """All linked pairs within a block, or between two blocks."""
+    rows = rows.sort_values(["d1", "d2"], ignore_index=True)
+    region, pairs = Region(_members(rows), percent), []
+    low = (rows["block"] == rows["low"]).to_numpy()
+    at, other = np.flatnonzero(low), np.flatnonzero(~low)
+    if rows["low"].iloc[0] == rows["high"].iloc[0]:
+        region.prefix_join(at, None, pairs)
+    elif len(at) and len(other):
+        region.prefix_join(at, other, pairs)
+    i, j = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+    d1, d2 = rows["d1"].to_numpy(), rows["d2"].to_numpy()
+    return pd.DataFrame({"a1": d1[i], "a2": d2[i], "b1": d1[j], "b2": d2[j]})
+
+
+def linked_pairs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """LINK rows: every pair of classes (distinct sets, by their digests) that links, once each, (a1, a2) < (b1, b2).
+
+    `jaccard_components` needs connectivity only and leaves most of them out.  Here all pairs of a group's blocks of about `BLOCK` sets meet; the
+    rows, as many as there are links, grow with the square of a group of near copies.
+    """
+    _, members = _classes(docs, width)
+    sizes = shared.kept(members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "groupsizes")
+    sized = members.join(shared.if_small(sizes), "comp").withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")))
+    met = sized.select("comp", "block", "d1", "d2", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
+    met = met.select("comp", "block", F.least("block", "o").alias("low"), F.greatest("block", "o").alias("high"), "d1", "d2", "shingles")
+    return met.groupBy("comp", "low", "high").applyInPandas(lambda rows: _pairs_of_blocks(rows, PERCENT), LINK)
+
+
+def _classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, t1, t2, n_shingles, d1, d2) of `docs`, and (comp, d1, d2, shingles) of the classes that could link; comps are closed."""
     spark = docs.sparkSession
     sketch = shared.kept(sketches(docs, width), "sketch")
     heavy = sketch.where(F.col("g").isNotNull()).groupBy("g").agg(F.sum("c").alias("c")).where(F.col("c") >= RETIRE)
@@ -275,7 +304,12 @@ def labels_of(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["comp", "d1", "d2", "shingles"])
 
     members = texts.select("comp", "d1", "d2", "text").mapInArrow(run, "comp long, d1 long, d2 long, shingles binary")
-    members = shared.kept(members.dropDuplicates(["d1", "d2"]), "members")
+    return rows, shared.kept(members.dropDuplicates(["d1", "d2"]), "members")
+
+
+def labels_of(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, t1, t2, n_shingles, label) for each row of `docs`: (t1, t2) is its `shared.row_key`, `label` its component's or null without shingles."""
+    rows, members = _classes(docs, width)
     links = class_links(members, PERCENT)
     pairs = links.select(F.xxhash64("a1", "a2").alias("u"), F.xxhash64("b1", "b2").alias("v")).where("u <> v")
     label = components(pairs)

@@ -103,8 +103,9 @@ class Region:
                 stack += regions
         return self.roots(np.arange(len(self.sets)))
 
-    def prefix_join(self, at: np.ndarray, other: np.ndarray | None = None) -> None:
-        """Link all pairs within `at`, or all pairs of `at` and `other`."""
+    def prefix_join(self, at: np.ndarray, other: np.ndarray | None = None, pairs: list[tuple[int, int]] | None = None) -> None:
+        """Connect all linked sets within `at`, or of `at` and `other`.  Pairs that are connected already are not tested, except
+        where `pairs` is given: it then gets every linked pair, the smaller index first."""
         every = at if other is None else np.concatenate((at, other))
         side = np.repeat([0, 1], [len(at), len(every) - len(at)])
         size = self.size[every]
@@ -128,17 +129,19 @@ class Region:
                 continue
             group = who[a:b]
             roots = self.roots(every[group])
-            if (roots == roots[0]).all():
+            if pairs is None and (roots == roots[0]).all():
                 continue
             for k in range(len(group)):
                 i = group[k]
                 rest = group[k + 1 :]
-                fit = (100 * np.minimum(size[rest], size[i]) >= self.percent * np.maximum(size[rest], size[i])) & (roots[k + 1 :] != roots[k])
+                fit = (100 * np.minimum(size[rest], size[i]) >= self.percent * np.maximum(size[rest], size[i]))
+                if pairs is None:
+                    fit &= roots[k + 1 :] != roots[k]
                 if other is not None:
                     fit &= side[rest] != side[i]
                 for j in rest[fit]:
                     pair = (int(min(i, j)), int(max(i, j)))
-                    if pair in tried or self.find(int(every[i])) == self.find(int(every[j])):
+                    if pair in tried or (pairs is None and self.find(int(every[i])) == self.find(int(every[j]))):
                         continue
                     tried.add(pair)
                     x, y = self.sets[every[i]], self.sets[every[j]]
@@ -147,3 +150,5 @@ class Region:
                     k2 = np.minimum(np.searchsorted(y, x), len(y) - 1)
                     if self.linked(int((y[k2] == x).sum()), len(x), len(y)):
                         self.union(int(every[i]), int(every[j]))
+                        if pairs is not None:
+                            pairs.append((int(min(every[i], every[j])), int(max(every[i], every[j]))))
