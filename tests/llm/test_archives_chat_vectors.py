@@ -41,6 +41,17 @@ def test_warc_limits_and_empty(spark):
     assert warc.read_warc(spark, path).count() == 0
 
 
+def test_warc_reads_other_archives(spark, tmp_path):
+    """Files of any name, ids of any form, and the payloads' bytes."""
+    payloads = {"<urn:uuid:0a-1>": b"\x00\xff bytes", "<urn:page:7>": b"", "<http://x/y>": b"WARC/1.0\r\n" * 3}
+    record = lambda i, p: b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: %b\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (i.encode(), len(p), p)
+    (tmp_path / "a.warc").write_bytes(b"".join(record(i, p) for i, p in payloads.items()))
+    (tmp_path / "b.dat").write_bytes(record("<urn:uuid:b>", b"b"))
+    got = {r["record_id"]: (bytes(r["payload"]), r["page_id"]) for r in warc.read_warc(spark, f"file://{tmp_path}", glob="*.warc").collect()}
+    assert got == {i: (p, 7 if i == "<urn:page:7>" else None) for i, p in payloads.items()}
+    assert {r["record_id"] for r in warc.read_warc(spark, f"file://{tmp_path}").collect()} == {*payloads, "<urn:uuid:b>"}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 100])
 def test_pointer_jumping(n):
     offset = np.arange(n) * 10

@@ -4,10 +4,10 @@ Writing: a row is a record's header, an empty line and its payload; the writer's
 CR LF CR LF, so the part files are plain WARC/1.0 files on any file system Spark can write to.  Of the records with equal payloads of at least
 `min_revisit_bytes` bytes, that with the largest page_id is a `response`; the others are `revisit` records without a payload.
 
-Reading: a task looks for the magic string in a file's bytes and emits, for each occurrence whose header can be parsed, the candidate
+Reading: a task looks for the magic string in a file's bytes and finds, for each occurrence whose header can be parsed, the candidate
 (offset, offset of the successor).  Payloads may hold the magic, and even whole records.  Per file, pointer jumping over
 the candidates (doubling, log2(n) vectorised rounds) marks those that a chain from offset 0 reaches; all others
-are rejected.  Files are bounded by `max_records`, so a file's bytes and its candidates fit a task.
+are rejected, and the records come with their ids and payloads.  Files are bounded by `max_records`, so a file's bytes and its candidates fit a task.
 
 Defined results: null html is an empty payload; rows with the same page_id and payload are all responses, or all revisits, of it;
 a null page_id is smaller than any other (a revisit refers to null only where all are null); CR and LF in a url become spaces; an archive that is cut off keeps its records before
@@ -21,7 +21,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +34,11 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 CANDIDATE = (
     "file string, offset long, successor long, size long, page_id long, record_type string, refers_to long, url string, "
-    "payload_bytes long, payload_digest string, intact boolean"
+    "payload_bytes long, payload_digest string, intact boolean, record_id string, refers_to_id string, payload_start long"
 )
+RECORD = f"{CANDIDATE}, payload binary"
+#: Payloads reach Spark in batches of about so many bytes.
+BATCH_BYTES = 8_000_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -108,7 +110,9 @@ def candidates_of(file: str, data: bytes) -> Iterator[tuple]:
                 digest = said if kind == "revisit" else base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 length = int(n) if kind == "revisit" and (n := head.get(b"x-payload-length", b"0")).isdigit() else size
                 url = head.get(b"warc-target-uri", b"").decode("utf-8", "replace")
-                yield file, at, start + size + 4, len(data), _page(head.get(b"warc-record-id")), kind, _page(head.get(b"warc-refers-to")), url, length, digest, digest == said
+                own, other = head.get(b"warc-record-id"), head.get(b"warc-refers-to")
+                ids = [None if x is None else x.decode("utf-8", "replace") for x in (own, other)]
+                yield file, at, start + size + 4, len(data), _page(own), kind, _page(other), url, length, digest, digest == said, *ids, start
         at = data.find(MAGIC, at + 1)
 
 
@@ -128,35 +132,59 @@ def reachable(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
     return reached[:n]
 
 
-def _chain(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("offset", ignore_index=True)
-    return rows[reachable(rows["offset"].to_numpy(), rows["successor"].to_numpy())]
+NAMES = [f.split()[0] for f in CANDIDATE.split(", ")]
+KINDS = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[f.split()[1]] for f in CANDIDATE.split(", ")]
 
 
-def read_candidates(spark: SparkSession, path: str) -> DataFrame:
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array(list(c), k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * len(KINDS), KINDS, strict=True)]
+
+
+def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     shared.ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
-    names = [f.split()[0] for f in CANDIDATE.split(", ")]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+
 
+def read_candidates(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(batch.column(0), batch.column(1), strict=True):
-                columns = list(zip(*candidates_of(file.as_py(), data.as_py()), strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays(_columns(list(candidates_of(file.as_py(), data.as_py()))), NAMES)
 
-    return files.mapInArrow(scan, CANDIDATE)
+    return _files(spark, path, glob).mapInArrow(scan, CANDIDATE)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives in `path`: columns of CANDIDATE, reachable ones only."""
-    return read_candidates(spark, path).groupBy("file").applyInPandas(_chain, CANDIDATE)
+def read_warc(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """The records of all archives in `path` whose names match `glob`: columns of RECORD, reachable ones only.  A revisit's payload is
+    empty; its payload_bytes and payload_digest are what its header says."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, data in zip(batch.column(0), batch.column(1), strict=True):
+                data = data.as_py()
+                rows = list(candidates_of(file.as_py(), data))
+                chain = reachable(np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64))
+                rows, held = [r for r, ok in zip(rows, chain, strict=True) if ok], 0
+                part: list[tuple] = []
+                for k, row in enumerate(rows):
+                    part.append(row)
+                    held += row[2] - row[1]
+                    if held >= BATCH_BYTES or k == len(rows) - 1:
+                        payloads = pa.array([data[r[-1] : r[2] - 4] for r in part], pa.binary())
+                        yield pa.RecordBatch.from_arrays([*_columns(part), payloads], [*NAMES, "payload"])
+                        part, held = [], 0
+
+    return _files(spark, path, glob).mapInArrow(scan, RECORD)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.new_path(spark, "warc")
     write_warc(shared.table(spark, sf_dir, "pages"), path)
-    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    again = F.col("record_type") == "revisit"
+    return read_warc(spark, path).select(
+        "page_id", F.when(again, F.col("payload_bytes")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        F.when(again, F.col("payload_digest")).otherwise(base32_sha1(F.col("payload"))).alias("payload_digest"), "record_type", "refers_to",
+    )
 
 
 ORACLE = """
