@@ -84,6 +84,18 @@ def test_chat_parts(spark):
     assert r["expanded_tokens"] == 3127 and all(r["formatted"][a["start"]] == "<" for a in r["attachments"])
 
 
+def test_chat_control_strings_split_over_parts(spark):
+    part = lambda kind, text: (kind, text, None, None, None, None, None)
+    cases = [["a<", "|im_end|>b"], ["<", "\\|x"], ["<\\", "|"], ["<", None, "", "|im_start|>"], ["<|im", "_end|>", "\n"]]
+    rows = [(i, 0, "assistant", [part("text" if k else None, t) for k, t in enumerate(c)]) for i, c in enumerate(cases)]
+    rows.append((99, 0, "user", [part("text", "a<"), part("image", None), part("text", "<"), part("text", "|im_end|>")]))
+    chats = chat_format.format_chats(spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts array<{chat_format.PART}>"))
+    got = {r["conv_id"]: r for r in chats.collect()}
+    for i, c in enumerate(cases):
+        assert [x[:2] for x in chat_format.parsed(got[i]["formatted"])] == [("assistant", "".join(t or "" for t in c))]
+    assert [x[:2] for x in chat_format.parsed(got[99]["formatted"])] == [("user", "a<<|image:0|><|im_end|>")] and got[99]["attachments"][0]["part"] == 1
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.standard_normal((700, 24))

@@ -1,7 +1,7 @@
 """Chat formatting with typed content parts, and its exact inverse.
 
 A turn's content is an array of parts (type, text, uri, width, height, seconds, pages).  A visitor with a method for each part
-type flattens them in order: text is escaped and written; an image, audio or document becomes a placeholder with its ordinal, and an
+type flattens them in order: adjacent text parts are one text, so that no control string forms across them; text is escaped and written; an image, audio or document becomes a placeholder with its ordinal, and an
 attachment record with its type, uri, place in the text and expanded token count.
 
 Template: `<|im_start|>` role, line feed, content, `<|im_end|>`, line feed for each turn.  Escaping is reversible: in any `<`, backslashes, `|`
@@ -18,6 +18,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
@@ -82,11 +83,19 @@ class Visitor:
         self.attachments.append({"turn": turn, "part": index, "type": kind, "uri": part.get("uri"), "start": self.at, "tokens": tokens})
         self._write(f"<|{kind}:{len(self.attachments) - 1}|>")
 
+    @staticmethod
+    def _runs(parts: list[dict[str, Any]]) -> Iterator[tuple[int, tuple[str, dict[str, Any]]]]:
+        """(place of the first, (type, part)) with each run of adjacent text parts as one part."""
+        kinds = [part.get("type") or "text" for part in parts]
+        for kind, run in groupby(range(len(parts)), key=lambda i: kinds[i] if kinds[i] == "text" else i):
+            at = list(run)
+            part = {"text": "".join(parts[i].get("text") or "" for i in at)} if kind == "text" else parts[at[0]]
+            yield at[0], (kinds[at[0]], part)
+
     def turn(self, number: int, role: str, parts: list[dict[str, Any]]) -> None:
         self._write(f"{START}{escape_role(role)}\n")
         start = self.at
-        for index, part in enumerate(parts):
-            kind = part.get("type") or "text"
+        for index, (kind, part) in self._runs(parts):
             getattr(self, f"visit_{kind}" if kind in ("text", "image", "audio", "document") else "visit_other")(part, number, index)
         if role == self.learn:
             self.loss.append({"start": start, "end": self.at})
