@@ -42,6 +42,21 @@ def test_line_dedup(spark, make, parts):
     assert line_dedup.line_dedup(rows.limit(0)).count() == 0
 
 
+def test_one_file_and_derived_tables_make_several_batches(spark, make, monkeypatch, tmp_path):
+    rnd = random.Random(8)
+    texts = [None, "", *["\n".join(rnd.choice(["alpha", "Beta ", "gamma", f"own {i} {k}"]) for k in range(rnd.randrange(1, 6))) for i in range(80)]]
+    derived = make([(i, t, None) for i, t in enumerate(texts)]).repartition(3)
+    derived.coalesce(1).write.parquet(f"file://{tmp_path}/one")
+    added, real = [], line_dedup.LineRuns.add
+    monkeypatch.setattr(line_dedup.LineRuns, "add", lambda self, keys: (added.append(keys.count()), real(self, keys)))
+    for docs in (spark.read.parquet(f"file://{tmp_path}/one"), derived):
+        added.clear()
+        out = sorted((r["text"] or "", r["n_lines"], r["kept_text"], r["n_dropped"]) for r in line_dedup.line_dedup(docs).collect())
+        assert out == sorted((t or "", n, kept, gone) for t, (n, kept, gone) in zip(texts, brute_lines(texts, 10), strict=True))
+        assert len(added) == 4 and sum(n > 0 for n in added) > 1
+        assert sum(added) == sum(len({key(x) for x in (t or "").split("\n") if key(x)}) for t in texts)
+
+
 def pii(text):
     out, text = [], text or ""
     out += [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]

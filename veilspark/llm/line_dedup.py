@@ -2,7 +2,7 @@
 
 A line's key is the line without `[\\x20\\x09-\\x0D]` at its ends, A-Z lower-cased; it is held as 128 bits of
 xxhash64 under two seeds.  `LineRuns` is a log-structured store: each batch of documents becomes a run, sorted
-by hash and bucketed by it, of (hash, number of documents).  Before a batch adds its run it is merge-anti-joined with the
+by hash and bucketed by it, of (hash, number of documents).  Batches are whole files or, of fewer files, shares of the rows by hash.  Before a batch adds its run it is merge-anti-joined with the
 runs' keys that have reached the limit already, so that hot lines are stored once per level and not once per batch.
 When a level holds `fanout` runs they are merged into one of the next level.  Runs are bucketed, so a join shuffles the new batch only.
 
@@ -107,14 +107,20 @@ class LineRuns:
         shared.forget(self.spark, self.base)
 
 
-def batches_by_file(docs: DataFrame, n: int) -> list[DataFrame]:
-    """Up to `n` parts of a plain Parquet scan, whole files each; other plans are one batch."""
+def batches_of(docs: DataFrame, n: int, text: str = "text") -> list[DataFrame]:
+    """`docs` in `n` batches: whole files of a plain Parquet scan with so many files; else the rows are dealt by a hash of the text.
+
+    What is not a plain scan has its texts written to the shared folder first, so that it is made once and not once for each batch.
+    """
     plan = docs._jdf.queryExecution().analyzed()
-    files = sorted(docs.inputFiles()) if not plan.children().size() else []
-    if len(files) < 2:
-        return [docs]
-    step = -(-len(files) // n)
-    return [docs.sparkSession.read.schema(docs.schema).parquet(*files[i : i + step]) for i in range(0, len(files), step)]
+    plain = not plan.children().size()
+    files = sorted(docs.inputFiles()) if plain else []
+    if len(files) >= n:
+        step = -(-len(files) // n)
+        return [docs.sparkSession.read.schema(docs.schema).parquet(*files[i : i + step]) for i in range(0, len(files), step)]
+    rows = docs if files else shared.kept(docs.select(text), "texts")
+    dealt = F.pmod(F.xxhash64(F.lit("batch"), F.col(text)), F.lit(n))
+    return [rows.where(dealt == k) for k in range(n)]
 
 
 def frequent_lines(batches: Sequence[DataFrame], text: str = "text", min_docs: int = 10, min_length: int = 1, fanout: int = 3) -> DataFrame:
@@ -153,7 +159,7 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", min_len
 
 def line_dedup(docs: DataFrame, text: str = "text", min_docs: int = 10, min_length: int = 1, n_batches: int = 4) -> DataFrame:
     """Drop, in every document, the lines whose key is found in at least `min_docs` documents."""
-    frequent = frequent_lines(batches_by_file(docs, n_batches), text, min_docs, min_length)
+    frequent = frequent_lines(batches_of(docs, n_batches, text), text, min_docs, min_length)
     return drop_lines(docs, frequent, text, min_length)
 
 
