@@ -108,6 +108,16 @@ def test_secrets(make):
     assert secret_scan.secret_spans(one.limit(0)).count() == 0
 
 
+def test_allowed_words_do_not_hide_the_rest_of_a_run(make):
+    key = "Zx9_kQ81mNb7TrLw02YpVc"
+    found = ["/example/" + key, "2024-01-01/" + key, "sha256-" + key, key + "xxxx", "0123456789" + key, "é " + key + "EXAMPLE" + key]
+    clean = ["example-of-1-long-placeholder", "2024-01-01-a-long-title-of-9-words", "abcdefghijklmnopqrstuvwxyz0123456789", "sha256-" + "Ab3/" * 10 + "Abc=", "x1" + "x" * 100_000, "2024-01-01" + "-a" * 50_000]
+    got = {r["doc_id"]: r["added"] for r in secret_scan.secret_spans(make([(i, t, None) for i, t in enumerate(found + clean)])).collect()}
+    for i, t in enumerate(found):
+        assert len(got[i]) == t.count(key) and all(x["text"] == t[x["start"] : x["end"]] and key[2:20] in x["text"] for x in got[i]), t
+    assert not any(got[len(found) + i] for i in range(len(clean)))
+
+
 def test_window_entropy_is_incremental(make):
     import math
 

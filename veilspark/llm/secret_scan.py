@@ -5,8 +5,8 @@ Beyond them, candidate strings (runs of at least `WINDOW` token characters that
 scanned by a window: the counts of its characters and the sum of c * log2(c) are carried from position to position, so
 each step costs the same whatever the window's width.  A candidate belongs to the narrowest class (hexadecimal, alphanumeric,
 base64) that holds all its characters, and each class has its own threshold; the reported span is from the first to the
-last window that reaches it.  Allow-listed candidates (UUIDs, checksums that are named so, placeholders, counting
-sequences) and those that overlap a base span are not reported.
+last window that reaches it.  Allow-listed candidates (UUIDs, dates with words, checksums that are named so) and those that overlap a base span
+are not reported; placeholder words and counting sequences cut a candidate into pieces, which are scanned each.
 
 Defined results: null text is empty; no span is dropped or capped; rows are independent of each other, so copies, ties and
 repeated ids give equal rows; an empty table gives an empty table.
@@ -33,14 +33,14 @@ TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 #: (class, all its characters, bits a window must reach)
 CLASSES = (("entropy_hex", r"^[0-9a-fA-F]+$", 3.0), ("entropy_alnum", r"^[A-Za-z0-9]+$", 3.7), ("entropy_base64", r"^[A-Za-z0-9+/_=-]+$", 3.85))
-#: What is known to be harmless, by the candidate itself and by the 24 code points before it.
+#: What is known to be harmless, by the form of the whole candidate and by the 24 code points before it.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|changeme|dummy|xxxx",
-    r"0123456789|abcdefghij|ABCDEFGHIJ",
-    r"^(?:sha1|sha256|sha384|sha512)-",
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    r"^(?:sha1-(?:[A-Za-z0-9+/]{27}=|[0-9a-fA-F]{40})|sha256-(?:[A-Za-z0-9+/]{43}=|[0-9a-fA-F]{64})|sha384-(?:[A-Za-z0-9+/]{64}|[0-9a-fA-F]{96})|sha512-(?:[A-Za-z0-9+/]{86}==|[0-9a-fA-F]{128}))$",
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[-_/T](?:[0-9]{1,9}|[a-z]+))*+$",
 )
+#: Words of placeholders and counting sequences; they cut a candidate, and the rest of it is scanned.
+ALLOWED_WORDS = r"(?i:example|placeholder|changeme|dummy|x{4,}+)|0123456789|abcdefghij|ABCDEFGHIJ"
 ALLOWED_BEFORE = r"(?i)(?:commit|checksum|sha1|sha256|md5|digest|integrity|isbn|://\S{0,20})[\x20:=/\"']*$"
 
 _SPAN = "struct<kind:string,start:int,end:int,text:string,bits:double>"
@@ -75,13 +75,24 @@ def window_scan(token: Column, threshold: Column) -> Column:
     return F.aggregate(pairs, zero, step, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["best"].alias("best")))
 
 
-def entropy_spans(text: Column, allowed: tuple[str, ...] = ALLOWED, allowed_before: str = ALLOWED_BEFORE) -> Column:
+def _pieces(x: Column, words: str) -> Column:
+    """The parts of a candidate's span between the matches of `words`, as spans of the text."""
+    cut = spans(x["m"], words)
+    starts = F.concat(F.array(F.lit(0)), F.transform(cut, lambda w: w["end"]))
+    ends = F.concat(F.transform(cut, lambda w: w["start"]), F.array(F.length(x["m"])))
+    return F.zip_with(starts, ends, lambda s, e: F.struct((x["start"] + s).alias("start"), (x["start"] + e).alias("end"), F.substring(x["m"], s + 1, e - s).alias("m")))
+
+
+def entropy_spans(text: Column, allowed: tuple[str, ...] = ALLOWED, allowed_before: str = ALLOWED_BEFORE, words: str = ALLOWED_WORDS) -> Column:
     """Added spans of a text, those that overlap base spans included."""
-    mixed = F.filter(spans(text, TOKEN), lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]"))
+    is_mixed = lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]")
+    mixed = F.filter(spans(text, TOKEN), is_mixed)
     safe = lambda x: F.concat_ws("", before(text, x["start"], 24)).rlike(allowed_before)
     for rx in allowed:
         safe = lambda x, rest=safe, rx=rx: x["m"].rlike(rx) | rest(x)
-    scanned = F.transform(F.filter(mixed, lambda x: ~safe(x)), lambda x: F.struct(x.alias("x"), _class_of(x["m"]).alias("c")))
+    pieces = F.flatten(F.transform(F.filter(mixed, lambda x: ~safe(x)), lambda x: F.when(x["m"].rlike(words), _pieces(x, words)).otherwise(F.array(x))))
+    pieces = F.filter(pieces, lambda x: (F.length(x["m"]) >= WINDOW) & is_mixed(x))
+    scanned = F.transform(pieces, lambda x: F.struct(x.alias("x"), _class_of(x["m"]).alias("c")))
     scanned = F.transform(scanned, lambda y: F.struct(y["x"].alias("x"), y["c"].alias("c"), window_scan(y["x"]["m"], y["c"]["bits"]).alias("w")))
     hits = F.filter(scanned, lambda y: y["w"]["first"] >= 0)
     return F.transform(hits, lambda y: F.struct(
