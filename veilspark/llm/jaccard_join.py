@@ -9,8 +9,9 @@ Two levels of Voronoi regions of the Jaccard metric:
    every window would hold everything.)  The order puts retired shingles last: those counted in `RETIRE` or more distinct
    sets, so that a passage in a third of all documents does not make a region.
 2. A region is a star of candidate edges, never all pairs; connected stars form closed groups.  Each group of distinct sets is joined
-   exactly by recursive Voronoi regions with documents as pivots (`voronoi_kernel`).  A group beyond `CHUNK_BYTES` is dealt into
-   chunks that share pivots; whatever is not connected to the main component then meets every chunk in blocks.
+   exactly by recursive Voronoi regions with documents as pivots: in one task (`voronoi_kernel`) up to `CHUNK_BYTES`, and beyond that by shuffled rounds (`large_regions`): pivots go to
+   all chunks of a region, every set's distances to them are measured, what is not connected to the main component asks on, and a region's
+   asking sets meet the sets of its triangle windows in the next round.
 
 Texts with equal sets are one class from the start.  Only classes, edges and labels are shuffled, and the sets of classes in groups of
 two or more; shingle sets are made again from the texts where they are needed, which costs less than to store them.  Hashes of
@@ -41,11 +42,12 @@ WIDTH, PERCENT = 5, 75
 #: Shingles of at least so many sets are last in order.  The set is sent to the tasks: `RETIRED_MOST` of the most frequent, 8 bytes each.
 RETIRE, RETIRED_MOST = 48, 500_000
 #: Shingles are counted in runs of about so many; of a run, those of at least COUNT_LEAST sets are added up over the corpus.
-COUNT_RUN, COUNT_LEAST = 2_000_000, 4
-CHUNK_BYTES, CHUNK_PIVOTS, BLOCK = 24_000_000, 12, 1000
+COUNT_RUN, COUNT_LEAST = 1_000_000, 4
+#: Bytes of shingles that a task joins at once; pivots of a larger region; rounds of regions before asking sets are dealt into blocks.
+CHUNK_BYTES, CHUNK_PIVOTS, DEPTH = 8_000_000, 12, 3
+BLOCK = 1000
 
 SKETCH = "doc_id long, t1 long, t2 long, n long, d1 long, d2 long, g long, c long"
-MEMBER = "part long, d1 long, d2 long, pivot boolean, shingles binary"
 LINK = "a1 long, a2 long, b1 long, b2 long"
 
 
@@ -56,6 +58,7 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Batches with the shingle sets of their `text`."""
+    shared.lean()
     for batch in batches:
         out: list[np.ndarray] = []
         for _, data, offsets in runs(batch.column(batch.schema.get_field_index("text"))):
@@ -144,23 +147,29 @@ def edges(docs: DataFrame, retired: np.ndarray, width: int) -> DataFrame:
 
     def met(rows: DataFrame) -> DataFrame:
         """Rows of regions with two classes or more.  A retired shingle's region has many; it needs no meeting place."""
-        region = W.partitionBy(F.when(F.col("hot"), F.xxhash64("g", "c")).otherwise(F.col("g")))
-        seen = rows.withColumn("first", F.min("c").over(region)).withColumn("last", F.max("c").over(region))
-        return seen.where(F.col("hot") | (F.col("first") < F.col("last"))).drop("last")
+        region = W.partitionBy("r")
+        seen = rows.withColumn("r", F.when(F.col("hot"), F.xxhash64("g", "c")).otherwise(F.col("g")))
+        seen = seen.withColumn("first", F.min("c").over(region)).withColumn("last", F.max("c").over(region))
+        return seen.where(F.col("hot") | (F.col("first") < F.col("last"))).drop("last", "r")
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "g long, c long, n int, hot boolean")
-    both = shared.kept(met(rows).drop("first"), "regions")
-    strong = both.groupBy("c").agg(F.count(F.lit(1)).alias("s"), F.max("n").alias("n")).where(F.col("s") >= _need(F.col("n"))).select("c")
-    both = shared.kept(both.join(shared.if_small(shared.kept(strong, "strong")), "c", "left_semi"), "strongregions")  # read three times
+    every = shared.kept(met(rows).drop("first"), "regions")
+    strong = every.groupBy("c").agg(F.count(F.lit(1)).alias("s"), F.max("n").alias("n")).where(F.col("s") >= _need(F.col("n"))).select("c")
+    strong = shared.kept(strong, "strong")
+    both = shared.kept(every.join(shared.if_small(strong), "c", "left_semi"), "strongregions")  # read three times
+    shared.done(every, strong)
     hot = both.where("hot")
-    centre = shared.if_small(shared.kept(hot.groupBy("g").agg(F.min("c").alias("first")), "centres"))  # combined before the shuffle
-    star = met(both.where("NOT hot")).unionByName(hot.join(centre, "g")).select("c", "n", F.col("first").alias("o"))
+    centres = shared.kept(hot.groupBy("g").agg(F.min("c").alias("first")), "centres")  # combined before the shuffle
+    star = met(both.where("NOT hot")).unionByName(hot.join(shared.if_small(centres), "g")).select("c", "n", F.col("first").alias("o"))
     star = shared.kept(star.groupBy("c", "n", "o").agg(F.count(F.lit(1)).alias("w")), "stars")
+    shared.done(both, centres)
     safe = (F.col("o") == F.col("c")) | (F.col("w") * 2 >= _need(F.col("n")))
     lost = star.groupBy("c").agg(F.sum("w").alias("total"), F.sum(F.when(safe, 0).otherwise(F.col("w"))).alias("lost"))
-    star = star.join(lost, "c").where(F.col("total") >= _need(F.col("n")))
-    star = star.where((safe | (F.col("lost") * 2 >= _need(F.col("n")))) & (F.col("c") != F.col("o")))
-    return star.select(F.greatest("c", "o").alias("u"), F.least("c", "o").alias("v")).distinct()
+    pairs = star.join(lost, "c").where(F.col("total") >= _need(F.col("n")))
+    pairs = pairs.where((safe | (F.col("lost") * 2 >= _need(F.col("n")))) & (F.col("c") != F.col("o")))
+    out = shared.kept(pairs.select(F.greatest("c", "o").alias("u"), F.least("c", "o").alias("v")).distinct(), "candidates")
+    shared.done(star)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,12 +187,15 @@ def components(edges: DataFrame) -> DataFrame:
         at = lambda name: hooks.select(F.col("node").alias(f"{name}_"), F.col("hook").alias(f"{name}_hook"))  # noqa: B023, E731
         moved = edges.join(at("u"), F.col("u") == F.col("u_")).join(at("v"), F.col("v") == F.col("v_"))
         moved = moved.select(F.greatest("u_hook", "v_hook").alias("u"), F.least("u_hook", "v_hook").alias("v")).where("u <> v").distinct()
+        moved = shared.kept(moved, "edges")
         if labels is None:
-            labels = hooks.select("node", F.col("hook").alias("label"))
+            step = hooks.select("node", F.col("hook").alias("label"))
         else:
-            step = labels.join(at("l"), F.col("label") == F.col("l_"), "left")
-            labels = shared.kept(step.select("node", F.coalesce("l_hook", "label").alias("label")), "labels")
-        edges = shared.kept(moved, "edges")
+            step = labels.join(at("l"), F.col("label") == F.col("l_"), "left").select("node", F.coalesce("l_hook", "label").alias("label"))
+        step = shared.kept(step, "labels")
+        shared.done(edges, hooks, *([] if labels is None else [labels]))
+        edges, labels = moved, step
+    shared.done(edges)
     return labels
 
 
@@ -199,20 +211,122 @@ def _as_links(rows: pd.DataFrame, label: np.ndarray) -> pd.DataFrame:
 
 def _join_parts(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links within each group of a bucket (`comp`)."""
+    shared.lean()
     out = []
     for _, group in rows.groupby("comp", sort=True):
-        group = group.sort_values(["pivot", "d1", "d2"], ascending=[False, True, True], ignore_index=True)
+        group = group.sort_values(["d1", "d2"], ignore_index=True)
         out.append(_as_links(group, Region(_members(group), percent).join()))
     return pd.concat(out, ignore_index=True)
 
 
-def _join_blocks(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between a block of unconnected sets and a chunk."""
-    rows = pd.concat([left, right], ignore_index=True)
+def _join_region(rows: pd.DataFrame, percent: int) -> tuple[pd.DataFrame, Region]:
+    """Links that connect what `label` has not connected yet; `rows` have no repeats and the pivots first."""
     region = Region(_members(rows), percent)
-    if len(left) and len(right):
-        region.prefix_join(np.arange(len(left)), np.arange(len(left), len(rows)))
-    return _as_links(rows, region.roots(np.arange(len(rows))))
+    for at in rows.groupby("label").indices.values():
+        for i in at[1:]:
+            region.union(int(at[0]), int(i))
+    before = region.roots(np.arange(len(rows))).copy()
+    after = region.join()
+    new = np.where((before == np.arange(len(rows))) & (after != before), after, np.arange(len(rows)))
+    return _as_links(rows, new), region
+
+
+def _asked(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links of a block of asking sets, and a chunk of a region, to each other."""
+    shared.lean()
+    rows = rows.sort_values(["asked", "d1", "d2"], ascending=[False, True, True]).drop_duplicates(["d1", "d2"], ignore_index=True)
+    return _join_region(rows, percent)[0]
+
+
+def _measured(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links within a chunk and its region's pivots, and each set's distances to the pivots (in the order of their digests)."""
+    shared.lean()
+    rows = rows.sort_values(["asked", "d1", "d2"], ascending=[False, True, True]).drop_duplicates(["d1", "d2"], ignore_index=True)
+    links, region = _join_region(rows, percent)
+    every, n = np.arange(len(rows)), int(rows["asked"].sum())
+    common = [region.shared_with(every, p) for p in range(n)]
+    near = np.stack([1 - c / np.maximum(1, region.size + region.size[p] - c) for p, c in enumerate(common)], axis=1)
+    sets = pd.DataFrame({"a1": rows["d1"], "a2": rows["d2"], "home": near.argmin(axis=1).astype(np.int32), "near": list(near)})
+    links["home"], links["near"] = None, None
+    out = pd.concat([links.astype({"home": object}), sets[n:].assign(b1=None, b2=None).astype({"home": object})], ignore_index=True)
+    return out.assign(region=rows["region"].iloc[0])[["region", "a1", "a2", "b1", "b2", "home", "near"]]
+
+
+MEASURED = "region long, a1 long, a2 long, b1 long, b2 long, home int, near array<double>"
+
+
+def large_regions(rows: DataFrame, percent: int) -> DataFrame:
+    """LINK rows that connect exactly the linked sets of groups that are too large for a task; `rows`: (comp, d1, d2, shingles).
+
+    A round takes pivots from the asking sets of a region, at first all of them, and measures every set's distance to them, chunk by chunk.  A
+    pivot has met the whole region then.  Sets that links connect to the group's main component need not ask any more.  The others ask in the region of their nearest
+    pivot q, where they meet the sets y of its window: d(y, q) is at most t more than the region's radius and 2 t more than y's
+    own distance.  Asking sets that fit a task (or, after `DEPTH` rounds, each block of them) meet all chunks of their region, and that ends it.
+    """
+    t, half = 1 - percent / 100 + 1e-9, CHUNK_BYTES / 2
+    node = F.xxhash64("d1", "d2")
+    rows = shared.kept(rows.select("comp", F.col("comp").alias("region"), "d1", "d2", "shingles", F.lit(True).alias("asks"), node.alias("label")), "large")
+    found, main = [], None
+    for depth in range(DEPTH + 1):
+        weight = F.octet_length("shingles")
+        sizes = rows.groupBy("region").agg(F.sum(weight).alias("bytes"), F.sum(F.when(F.col("asks"), weight).otherwise(0)).alias("asking")).where("asking > 0")
+        sizes = shared.kept(sizes.withColumn("flat", (F.col("asking") <= half) | F.lit(depth == DEPTH)), "regionsizes")
+        pick = lambda n: F.pmod(F.xxhash64(F.lit(depth), "d1", "d2"), n)  # noqa: B023, E731
+        sized = rows.join(shared.if_small(sizes), "region").withColumn("chunks", F.ceil(F.col("bytes") / half))
+        sized = sized.withColumn("blocks", F.ceil(F.col("asking") / half)).withColumn("chunk", pick(F.col("chunks")))
+        spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        columns = ["region", "block", "chunk", "d1", "d2", "label", "shingles", "asked"]
+
+        flat = sized.where("flat")
+        asking = flat.where("asks").withColumn("block", pick(F.col("blocks"))).withColumn("chunk", spread("chunks")).withColumn("asked", F.lit(True))
+        met = flat.withColumn("block", spread("blocks")).withColumn("asked", F.lit(False))
+        met = asking.select(columns).unionByName(met.select(columns))
+        found.append(shared.kept(met.groupBy("region", "block", "chunk").applyInPandas(lambda r: _asked(r, percent), LINK), "asked"))
+        if not sizes.where("NOT flat").limit(1).count():
+            shared.done(rows, sizes)
+            break
+
+        deep = shared.kept(sized.where("NOT flat").select("comp", "region", "chunks", "chunk", "d1", "d2", "label", "shingles", "asks"), "deep")
+        first = [F.min(F.when(F.col("asks"), F.struct(F.xxhash64(F.lit(depth), F.lit(j), "d2", "d1").alias("h"), "d1", "d2"))).alias(f"p{j}") for j in range(CHUNK_PIVOTS)]
+        pivots = deep.groupBy("region").agg(*first).select("region", F.explode(F.array(*[f"p{j}" for j in range(CHUNK_PIVOTS)])).alias("p")).select("region", "p.d1", "p.d2").distinct()
+        pivots = shared.kept(pivots, "pivots")
+        sets = deep.join(shared.if_small(pivots), ["region", "d1", "d2"], "left_semi").withColumn("chunk", spread("chunks")).withColumn("asked", F.lit(True))
+        met = deep.withColumn("asked", F.lit(False)).unionByName(sets).select("region", "chunk", "d1", "d2", "label", "shingles", "asked")
+        measured = shared.kept(met.groupBy("region", "chunk").applyInPandas(lambda r: _measured(r, percent), MEASURED), "measured")
+        found.append(shared.kept(measured.where("home IS NULL").select("a1", "a2", "b1", "b2"), "regionlinks"))
+
+        label = components(_edges_of(found))
+        now = lambda key: F.coalesce(label["label"], key)  # noqa: B023, E731
+        relabelled = deep.drop("label").withColumn("own", node).join(label, F.col("own") == label["node"], "left").withColumn("label", now(F.col("own"))).drop("own", "node")
+        relabelled = shared.kept(relabelled, "relabelled")
+        if main is None:  # the label of the largest component, a set of it; it stays the same component in later rounds
+            main = shared.kept(relabelled.groupBy("comp", "label").count().groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("top")), "main")
+        top = main.join(label, F.col("top") == label["node"], "left").select("comp", now(F.col("top")).alias("main"))
+        own = measured.where("home IS NOT NULL").select(F.col("region").alias("r"), F.col("a1").alias("d1"), F.col("a2").alias("d2"), "home", "near")
+        placed = relabelled.withColumnRenamed("region", "r").join(own, ["r", "d1", "d2"]).join(shared.if_small(top), "comp")
+        placed = placed.withColumn("asks", F.col("asks") & (F.col("label") != F.col("main"))).withColumn("own", F.array_min("near"))
+        placed = shared.kept(placed.select("comp", "r", "d1", "d2", "label", "shingles", "asks", "home", "near", "own"), "placed")
+        radius = shared.kept(placed.where("asks").groupBy("r", F.col("home").alias("q")).agg(F.max("own").alias("radius")), "radius")
+        each = placed.select("*", F.posexplode("near").alias("q", "far")).join(shared.if_small(radius), ["r", "q"])
+        window = (F.col("far") <= F.col("own") + 2 * t) & (F.col("far") <= F.col("radius") + t)
+        at_home = F.col("home") == F.col("q")
+        each = each.where(at_home | window).select("comp", F.xxhash64("r", "q", F.lit(depth)).alias("region"), "d1", "d2", "shingles", (F.col("asks") & at_home).alias("asks"), "label")
+        following = shared.kept(each, "large")
+        shared.done(rows, sizes, deep, pivots, measured, label, relabelled, placed, radius)
+        rows = following
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _edges_of(links: list[DataFrame]) -> DataFrame:
+    """(u, v) of LINK rows, by nodes."""
+    out = None
+    for part in links:
+        rows = part.select(F.xxhash64("a1", "a2").alias("u"), F.xxhash64("b1", "b2").alias("v")).where("u <> v")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def class_links(members: DataFrame, percent: int) -> DataFrame:
@@ -223,33 +337,13 @@ def class_links(members: DataFrame, percent: int) -> DataFrame:
     total = sizes.where(F.col("bytes") <= CHUNK_BYTES).agg(F.sum("bytes")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // (CHUNK_BYTES // 2)))
     small = members.join(shared.if_small(sizes.where(F.col("bytes") <= CHUNK_BYTES).select("comp")), "comp")
-    small = small.withColumn("part", F.pmod(F.xxhash64("comp"), F.lit(buckets))).withColumn("pivot", F.lit(False))
+    small = small.withColumn("part", F.pmod(F.xxhash64("comp"), F.lit(buckets)))
     links = shared.kept(small.groupBy("part").applyInPandas(lambda rows: _join_parts(rows, percent), LINK), "links")
-    big = shared.kept(sizes.where(F.col("bytes") > CHUNK_BYTES), "biggroups")
-    if not big.limit(1).count():
-        return links
-
-    # Large groups: chunks with common pivots, then blocks of what is not connected against all chunks.
-    chunked = members.join(shared.if_small(big), "comp").withColumn("chunks", F.ceil(F.col("bytes") * 2 / CHUNK_BYTES).cast("int"))
-    chunked = shared.kept(chunked.withColumn("chunk", F.pmod(F.xxhash64("d1", "d2"), F.col("chunks"))), "chunked")
-    lowest = chunked.groupBy("comp", "chunks").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("d2", "d1"), F.greatest(F.lit(1), (F.col("classes") / (8 * CHUNK_PIVOTS)).cast("int"))) == 0, F.struct("d1", "d2")))), 1, CHUNK_PIVOTS).alias("p"))
-    pivots = lowest.select("comp", F.explode("p").alias("p")).select("comp", "p.d1", "p.d2")
-    pivots = chunked.join(F.broadcast(pivots), ["comp", "d1", "d2"], "left_semi").select("comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), "d1", "d2", F.lit(True).alias("pivot"), "shingles")
-    rows = chunked.select("comp", F.col("chunk").cast("long").alias("chunk"), "d1", "d2", F.lit(False).alias("pivot"), "shingles").unionByName(pivots)
-    near = shared.kept(rows.groupBy("comp", "chunk").applyInPandas(lambda r: _join_parts(r, percent), LINK), "chunklinks")
-    found = components(near.select(F.xxhash64("a1", "a2").alias("u"), F.xxhash64("b1", "b2").alias("v")).where("u <> v"))
-    labelled = chunked.withColumn("node", F.xxhash64("d1", "d2")).join(found, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
-    labelled = shared.kept(labelled, "labelled")
-    main = labelled.groupBy("comp", "label").count().groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    rest = labelled.join(F.broadcast(main), "comp").where("label <> main")
-    blocks = rest.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    rest = rest.join(F.broadcast(blocks), "comp").withColumn("block", F.pmod(F.xxhash64("d2", "d1"), F.col("blocks")))
-    left = rest.select("comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), "d1", "d2", "shingles")
-    right = labelled.join(F.broadcast(blocks), "comp").select("comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("chunk").cast("long").alias("chunk"), "d1", "d2", "shingles")
-    keys = ["comp", "block", "chunk"]
-    left, right = left.toDF(*left.columns), right.select(*[F.col(c).alias(f"_{c}") for c in right.columns]).toDF(*right.columns)
-    far = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: _join_blocks(a, b, percent), LINK)
-    return links.unionByName(near).unionByName(shared.kept(far, "blocklinks"))
+    big = sizes.where(F.col("bytes") > CHUNK_BYTES).select("comp")
+    if big.limit(1).count():
+        links = links.unionByName(large_regions(members.join(shared.if_small(big), "comp"), percent))
+    shared.done(sizes)
+    return links
 
 
 def _pairs_of_blocks(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -273,7 +367,7 @@ def linked_pairs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     `jaccard_components` needs connectivity only and leaves most of them out.  Here all pairs of a group's blocks of about `BLOCK` sets meet; the
     rows, as many as there are links, grow with the square of a group of near copies.
     """
-    _, members = _classes(docs, width)
+    _, members, _ = _classes(docs, width)
     sizes = shared.kept(members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "groupsizes")
     sized = members.join(shared.if_small(sizes), "comp").withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")))
     met = sized.select("comp", "block", "d1", "d2", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
@@ -281,15 +375,18 @@ def linked_pairs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return met.groupBy("comp", "low", "high").applyInPandas(lambda rows: _pairs_of_blocks(rows, PERCENT), LINK)
 
 
-def _classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, t1, t2, n_shingles, d1, d2) of `docs`, and (comp, d1, d2, shingles) of the classes that could link; comps are closed."""
-    spark = docs.sparkSession
+def _classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Rows (doc_id, t1, t2, n_shingles, d1, d2) of `docs`, (comp, d1, d2, shingles) of the classes that could link, and the tables these are read from; comps are closed."""
     sketch = shared.kept(sketches(docs, width), "sketch")
     heavy = sketch.where(F.col("g").isNotNull()).groupBy("g").agg(F.sum("c").alias("c")).where(F.col("c") >= RETIRE)
-    retired = np.sort(np.array([r["g"] for r in heavy.orderBy(F.desc("c"), "g").limit(RETIRED_MOST).collect()], dtype=np.int64).view(np.uint64))
+    heavy = heavy.orderBy(F.desc("c"), "g").limit(RETIRED_MOST).select("g").toArrow()["g"]  # 8 bytes each
+    retired = np.sort(np.array(heavy.to_numpy(), dtype=np.int64).view(np.uint64))
     rows = sketch.where(F.col("n").isNotNull()).select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), "d1", "d2")
 
-    groups = components(edges(docs, retired, width)).select(F.col("node").alias("d1"), F.col("label").alias("comp"))
+    candidates = edges(docs, retired, width)
+    labels = components(candidates)
+    shared.done(candidates)
+    groups = labels.select(F.col("node").alias("d1"), F.col("label").alias("comp"))
     classes = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("t1").alias("t1"))  # a row of it; by id, all rows without one would meet
     classes = classes.join(groups, "d1")
     alone = classes.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("comp")
@@ -304,23 +401,26 @@ def _classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["comp", "d1", "d2", "shingles"])
 
     members = texts.select("comp", "d1", "d2", "text").mapInArrow(run, "comp long, d1 long, d2 long, shingles binary")
-    return rows, shared.kept(members.dropDuplicates(["d1", "d2"]), "members")
+    members = shared.kept(members.dropDuplicates(["d1", "d2"]), "members")
+    shared.done(asked, labels)
+    return rows, members, [sketch, members]
 
 
 def labels_of(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, t1, t2, n_shingles, label) for each row of `docs`: (t1, t2) is its `shared.row_key`, `label` its component's or null without shingles."""
-    rows, members = _classes(docs, width)
-    links = class_links(members, PERCENT)
-    pairs = links.select(F.xxhash64("a1", "a2").alias("u"), F.xxhash64("b1", "b2").alias("v")).where("u <> v")
-    label = components(pairs)
+    rows, members, read = _classes(docs, width)
+    label = components(_edges_of([class_links(members, PERCENT)]))
 
     labelled = rows.withColumn("node", F.xxhash64("d1", "d2")).join(label, "node", "left")
-    return labelled.select("doc_id", "t1", "t2", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label"))
+    labelled = labelled.select("doc_id", "t1", "t2", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label"))
+    labelled = shared.kept(labelled, "labelled")
+    shared.done(label, *read)
+    return labelled
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text)."""
-    labelled = shared.kept(labels_of(docs, width).drop("t1", "t2"), "labelled")
+    labelled = labels_of(docs, width)
     least = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(least, "label", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -332,7 +432,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     Rows are told apart by id and text, so neither a repeated nor a null id takes other texts with it.  Of rows with the same id and the same text
     one stays, any of them.
     """
-    labelled = shared.kept(labels_of(docs, width).where(F.col("label").isNotNull()).select("doc_id", "t1", "t2", "label"), "labelled")
+    labelled = labels_of(docs, width).where(F.col("label").isNotNull()).select("doc_id", "t1", "t2", "label")
     first = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2")).alias("first"))
     first = first.select("label", F.col("first.t1").alias("f1"), F.col("first.t2").alias("f2"))
     stays = (F.col("t1") == F.col("f1")) & (F.col("t2") == F.col("f2"))
@@ -350,3 +450,21 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(shared.table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM doc
+), class AS (SELECT s, min(r) AS c, min(doc_id) AS least FROM sets WHERE len(s) > 0 GROUP BY s
+), g AS (SELECT c, len(s) AS n, unnest(s) AS g FROM class
+), link AS (
+  SELECT a.c AS u, b.c AS v FROM g a JOIN g b ON a.g = b.g AND a.c <> b.c AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach(u, v) AS (SELECT c, c FROM class UNION SELECT reach.u, link.v FROM reach JOIN link ON reach.v = link.u
+), found AS (SELECT reach.u AS c, min(class.least) AS component_id FROM reach JOIN class ON class.c = reach.v GROUP BY reach.u)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(found.component_id, sets.doc_id) AS component_id
+FROM sets LEFT JOIN class ON sets.s = class.s LEFT JOIN found ON found.c = class.c
+"""

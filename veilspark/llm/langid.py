@@ -138,6 +138,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.lean()
         df, n = np.zeros(DIM + 1, dtype=np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -178,6 +179,7 @@ def identify(docs: DataFrame, model: dict | None, text: str = "text", keep_text:
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.lean()
         for batch in batches:
             found = [predict(t, model) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             kept = [(f.name, batch.column(batch.schema.get_field_index(f.name))) for f in fields]

@@ -23,4 +23,5 @@ ORACLES = {
     "op6_line_dedup": line_dedup.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_chat_format": chat_format.ORACLE,
+    "op9_jaccard_join": jaccard_join.ORACLE,
 }

@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding with a batched numpy Viterbi search.
 
 The vocabulary is read from a model file whose path is a parameter.  Texts get a dummy blank in front, blanks become U+2581, and are
-cut before each run of blanks that follows another character (no piece crosses such a place; `Vocabulary` checks it).  Distinct words are encoded once for each run of about 1 MB,
-and known words are remembered in a bounded table.
+cut before each run of blanks that follows another character (no piece crosses such a place; `Vocabulary` checks it).  Distinct words are encoded once for each run of about 256 kB,
+and known words are remembered in a bounded table.  Words are cut again between two characters that no piece holds side by side: no merge and
+no path crosses such a place, so long text without blanks (Chinese, base64) is many short strings too.  A word of one repeated character stays whole and takes a step for each.
 
 Search: words of equal length form a matrix of code points and advance together.  For every end position and piece length the hash of
 the substring probes the sorted hashes of the pieces; the vectorised maximum over lengths is the score of the prefix
@@ -12,7 +13,8 @@ sequence whose neighbours are all compatible is unique and is the BPE encoding,
 Characters without a piece fall back to byte pieces (or to the unknown piece, if the model has none).
 
 Defined results: null text has null ids, and empty text none; decode(encode(text)) is the text, but for U+2581, which becomes a blank,
-and, where the model has no byte pieces, unknown characters; rows are independent; further columns pass through.
+and, where the model has no byte pieces, unknown characters; rows are independent; further columns pass through (`token_ids`, `decoded` are replaced).
+Pieces and remembered words are told apart by 64-bit hashes alone: two words of a worker's table are taken for one with a probability of about 1e-9 for 200,000 words.
 """
 
 from __future__ import annotations
@@ -38,9 +40,9 @@ _BASE = 0xD1342543DE82EF95
 _SALT = 0x9E3779B97F4A7C15
 _FAR = np.int64(1) << 60
 #: Words remembered by a worker; beyond that it starts anew.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS, KNOWN_TOKENS = 200_000, 2_000_000
 #: Arrow batches are handled in parts of about so many bytes.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 
 
 class Vocabulary:
@@ -67,6 +69,8 @@ class Vocabulary:
         self.offsets = np.concatenate(([0], np.cumsum([len(b) for b in self.bytes])))
         self.data = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
         self._split(text, score, normal)
+        neighbours = {ord(a) << 21 | ord(b) for i in self.usable for a, b in zip(text[i], text[i][1:], strict=False)}
+        self.neighbours = np.array(sorted(neighbours), dtype=np.int64)  # characters that some piece holds side by side
         keys = np.array([_hash_of(text[i]) for i in self.usable], dtype=_U)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(self.usable, dtype=np.int64)[order]
@@ -163,6 +167,15 @@ class Vocabulary:
 
     def encode_words(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids) of words given as code points, U+2581 for blanks; words of equal length advance together."""
+        if not len(points):
+            return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
+        pair = points[:-1].astype(np.int64) << 21 | points[1:]
+        at = np.minimum(np.searchsorted(self.neighbours, pair), len(self.neighbours) - 1)
+        words, offsets = offsets, np.union1d(offsets, np.flatnonzero(self.neighbours[at] != pair) + 1)
+        ids, sizes = self._encode_strings(points, offsets)
+        return ids, np.diff(np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(offsets, words)])
+
+    def _encode_strings(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.diff(offsets)
         order, pieces, sizes = [], [], []
         for n in np.unique(lengths):
@@ -235,16 +248,15 @@ class Vocabulary:
 
     def _bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids with -2 - c, for a character c without a piece, replaced by its byte pieces, and how many each became."""
-        table = {i: [self.byte_ids[b] for b in chr(-2 - i).encode("utf-8", "surrogatepass")] if self.byte_ids[0] >= 0 else [self.unk] for i in np.unique(ids[ids < 0]).tolist()}
+        lone = ids < 0
+        if self.byte_ids[0] < 0:
+            return np.where(lone, self.unk, ids), np.ones(len(ids), dtype=np.int64)
+        chars = (-2 - ids[lone]).astype(np.uint32)
+        raw = chars.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
         width = np.ones(len(ids), dtype=np.int64)
-        for i, new in table.items():
-            width[ids == i] = len(new)
+        width[lone] += (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
         out = np.repeat(ids, width)
-        first = np.cumsum(width) - width
-        for i, new in table.items():
-            at = first[ids == i]
-            for k, b in enumerate(new):
-                out[at + k] = b
+        out[np.repeat(lone, width)] = self.byte_ids[np.frombuffer(raw, dtype=np.uint8)]
         return out, width
 
 
@@ -311,7 +323,7 @@ class Encoder:
         at = np.searchsorted(self.known, distinct)
         fresh = np.flatnonzero((at == len(self.known)) | (self.known[np.minimum(at, max(len(self.known) - 1, 0))] != distinct) if len(self.known) else np.ones(len(distinct), bool))
         if len(fresh):
-            if len(self.known) + len(fresh) > KNOWN_WORDS:
+            if len(self.known) + len(fresh) > KNOWN_WORDS or len(self.tokens) > KNOWN_TOKENS:
                 self.forget()
                 fresh = np.arange(len(distinct))
             self._learn(distinct[fresh], data, starts[first[fresh]], ends[first[fresh]])
@@ -376,6 +388,7 @@ def _mapped(rows: DataFrame, vocabulary: Vocabulary, source: str, made: list[tup
     schema = T.StructType([*fields, *[T.StructField(n, t) for n, t in made]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.lean()
         encoder = Encoder(vocabulary)
         for whole in batches:
             step = max(1, int(whole.num_rows * PART_BYTES / max(1, whole.nbytes)))  # temporaries are many times a part's size

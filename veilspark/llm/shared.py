@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
 _shipped: set[str] = set()
+_lean: list[bool] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -48,11 +52,44 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+#: Shuffle files of a write go as soon as it has ended; its rows are in the shared folder then.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame, what: str) -> DataFrame:
     """`df` written to the shared folder and read again: its lineage ends there and any executor can be lost."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, what)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._veilspark_path = path
+    return out
+
+
+def done(*frames: DataFrame) -> None:
+    """Delete tables that `kept` made and no later step reads, wherever the shared folder is."""
+    for frame in frames:
+        if path := frame.__dict__.pop("_veilspark_path", None):
+            forget(frame.sparkSession, path)
+
+
+def lean() -> None:
+    """For Python workers, which Spark uses again and again: what a task frees goes back to the system, so that a worker's size is that of
+    the task it runs and not of the largest one it ever ran."""
+    if _lean:
+        return
+    _lean.append(True)
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # a C library without these settings keeps its own
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-8, 1)  # M_ARENA_MAX
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: larger arrays are mapped each, and unmapped when freed
+        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
 
 
 def forget(spark: SparkSession, *paths: str) -> None:

@@ -27,7 +27,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 #: Texts are handled in runs of about so many bytes; a longer text is a run of its own.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

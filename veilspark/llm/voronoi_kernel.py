@@ -3,8 +3,8 @@
 d(x, y) = 1 - |x & y| / |x | y| is a metric.  In a region a few pivots are chosen, every set's distance to each is computed and
 sets within the threshold of a pivot are linked to it.  A set's home is its nearest pivot.  If x and y link and y's
 home is q, then d(x, q) <= d(x, home(x)) + 2 * t and d(x, q) <= t + (radius of q), so x is replicated to the
-regions of that window, and each region joins in the same way.  A region whose sets are all connected is finished; one that its pivots can't
-split (distances near 1 say nothing) is joined by prefix filtering with the region's own shingle counts, rarest first, which is exact
+regions of that window, and each region joins in the same way.  A region whose sets are all connected is finished; the leaf, a region that its pivots can't
+split (distances near 1 say nothing: the windows hold more than 1.5 times its sets), is joined by prefix filtering with the region's own shingle counts, rarest first, which is exact
 too.  Links are tested with integers: 100 * intersection >= percent * union.
 """
 
@@ -13,7 +13,6 @@ from __future__ import annotations
 import numpy as np
 
 PIVOTS = 6
-LEAF = 16
 
 
 class Region:
@@ -64,9 +63,6 @@ class Region:
             at = stack.pop()
             if len(at) < 2 or (self.roots(at) == self.roots(at)[0]).all():
                 continue
-            if len(at) <= LEAF:
-                self.prefix_join(at)
-                continue
             pivots, distance = [], []
             while len(pivots) < PIVOTS:
                 roots = self.roots(at)
