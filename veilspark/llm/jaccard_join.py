@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,7 +44,7 @@ RETIRE, RETIRED_MOST = 48, 500_000
 #: Shingles are counted in runs of about so many; of a run, those of at least COUNT_LEAST sets are added up over the corpus.
 COUNT_RUN, COUNT_LEAST = 1_000_000, 4
 #: Bytes of shingles that a task joins at once; pivots of a larger region; rounds of regions before asking sets are dealt into blocks.
-CHUNK_BYTES, CHUNK_PIVOTS, DEPTH = 8_000_000, 12, 3
+CHUNK_BYTES, CHUNK_PIVOTS, DEPTH = 16_000_000, 12, 3
 BLOCK = 1000
 
 SKETCH = "doc_id long, t1 long, t2 long, n long, d1 long, d2 long, g long, c long"
@@ -247,21 +247,22 @@ def _measured(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     common = [region.shared_with(every, p) for p in range(n)]
     near = np.stack([1 - c / np.maximum(1, region.size + region.size[p] - c) for p, c in enumerate(common)], axis=1)
     sets = pd.DataFrame({"a1": rows["d1"], "a2": rows["d2"], "home": near.argmin(axis=1).astype(np.int32), "near": list(near)})
-    links["home"], links["near"] = None, None
-    out = pd.concat([links.astype({"home": object}), sets[n:].assign(b1=None, b2=None).astype({"home": object})], ignore_index=True)
-    return out.assign(region=rows["region"].iloc[0])[["region", "a1", "a2", "b1", "b2", "home", "near"]]
+    sets = pd.DataFrame({"a1": rows["d1"], "a2": rows["d2"], "home": near.argmin(axis=1).astype(np.int32), "near": list(near), "bytes": region.size * 8, "asks": rows["asks"]})[n:]
+    out = pd.concat([links.assign(home=None, near=None, bytes=None, asks=None).astype(object), sets.assign(b1=None, b2=None).astype(object)], ignore_index=True)
+    return out.assign(comp=rows["comp"].iloc[0], region=rows["region"].iloc[0])[[f.split()[0] for f in MEASURED.split(", ")]]
 
 
-MEASURED = "region long, a1 long, a2 long, b1 long, b2 long, home int, near array<double>"
+MEASURED = "comp long, region long, a1 long, a2 long, b1 long, b2 long, home int, near array<double>, bytes long, asks boolean"
 
 
 def large_regions(rows: DataFrame, percent: int) -> DataFrame:
     """LINK rows that connect exactly the linked sets of groups that are too large for a task; `rows`: (comp, d1, d2, shingles).
 
     A round takes pivots from the asking sets of a region, at first all of them, and measures every set's distance to them, chunk by chunk.  A
-    pivot has met the whole region then.  Sets that links connect to the group's main component need not ask any more.  The others ask in the region of their nearest
-    pivot q, where they meet the sets y of its window: d(y, q) is at most t more than the region's radius and 2 t more than y's
-    own distance.  Asking sets that fit a task (or, after `DEPTH` rounds, each block of them) meet all chunks of their region, and that ends it.
+    pivot has met the whole region then.  Sets that links connect to the group's main component need not ask any more.  Asking sets that fit a task meet all chunks of
+    their region, and that ends it.  More of them ask in the region of their nearest
+    pivot q each, where they meet the sets y of its window: d(y, q) is at most t more than the region's radius and 2 t more than y's
+    own distance.  After `DEPTH` rounds the asking sets of a region are dealt into blocks that fit a task.  Sets are shuffled twice a round, by region and chunk.
     """
     t, half = 1 - percent / 100 + 1e-9, CHUNK_BYTES / 2
     node = F.xxhash64("d1", "d2")
@@ -291,28 +292,36 @@ def large_regions(rows: DataFrame, percent: int) -> DataFrame:
         pivots = deep.groupBy("region").agg(*first).select("region", F.explode(F.array(*[f"p{j}" for j in range(CHUNK_PIVOTS)])).alias("p")).select("region", "p.d1", "p.d2").distinct()
         pivots = shared.kept(pivots, "pivots")
         sets = deep.join(shared.if_small(pivots), ["region", "d1", "d2"], "left_semi").withColumn("chunk", spread("chunks")).withColumn("asked", F.lit(True))
-        met = deep.withColumn("asked", F.lit(False)).unionByName(sets).select("region", "chunk", "d1", "d2", "label", "shingles", "asked")
+        met = deep.withColumn("asked", F.lit(False)).unionByName(sets).drop("chunks")
         measured = shared.kept(met.groupBy("region", "chunk").applyInPandas(lambda r: _measured(r, percent), MEASURED), "measured")
         found.append(shared.kept(measured.where("home IS NULL").select("a1", "a2", "b1", "b2"), "regionlinks"))
 
         label = components(_edges_of(found))
         now = lambda key: F.coalesce(label["label"], key)  # noqa: B023, E731
-        relabelled = deep.drop("label").withColumn("own", node).join(label, F.col("own") == label["node"], "left").withColumn("label", now(F.col("own"))).drop("own", "node")
-        relabelled = shared.kept(relabelled, "relabelled")
-        if main is None:  # the label of the largest component, a set of it; it stays the same component in later rounds
-            main = shared.kept(relabelled.groupBy("comp", "label").count().groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("top")), "main")
+        own = measured.where("home IS NOT NULL").select("comp", "region", F.col("a1").alias("d1"), F.col("a2").alias("d2"), "home", "near", "bytes", "asks")
+        own = own.withColumn("own", node).join(label, F.col("own") == label["node"], "left").withColumn("now", now(F.col("own"))).drop("own", "node", "label")
+        own = shared.kept(own, "own")
+        if main is None:  # a label of the largest component; as a set of it, it stays in the same component in later rounds
+            main = shared.kept(own.groupBy("comp", "now").count().groupBy("comp").agg(F.max_by("now", F.struct("count", "now")).alias("top")), "main")
         top = main.join(label, F.col("top") == label["node"], "left").select("comp", now(F.col("top")).alias("main"))
-        own = measured.where("home IS NOT NULL").select(F.col("region").alias("r"), F.col("a1").alias("d1"), F.col("a2").alias("d2"), "home", "near")
-        placed = relabelled.withColumnRenamed("region", "r").join(own, ["r", "d1", "d2"]).join(shared.if_small(top), "comp")
-        placed = placed.withColumn("asks", F.col("asks") & (F.col("label") != F.col("main"))).withColumn("own", F.array_min("near"))
-        placed = shared.kept(placed.select("comp", "r", "d1", "d2", "label", "shingles", "asks", "home", "near", "own"), "placed")
-        radius = shared.kept(placed.where("asks").groupBy("r", F.col("home").alias("q")).agg(F.max("own").alias("radius")), "radius")
-        each = placed.select("*", F.posexplode("near").alias("q", "far")).join(shared.if_small(radius), ["r", "q"])
-        window = (F.col("far") <= F.col("own") + 2 * t) & (F.col("far") <= F.col("radius") + t)
-        at_home = F.col("home") == F.col("q")
-        each = each.where(at_home | window).select("comp", F.xxhash64("r", "q", F.lit(depth)).alias("region"), "d1", "d2", "shingles", (F.col("asks") & at_home).alias("asks"), "label")
-        following = shared.kept(each, "large")
-        shared.done(rows, sizes, deep, pivots, measured, label, relabelled, placed, radius)
+        own = own.join(shared.if_small(top), "comp").withColumn("asks", F.col("asks") & (F.col("now") != F.col("main")))
+        asking = own.where("asks").groupBy("region").agg(F.sum("bytes").alias("asking"))
+        radius = own.where("asks").groupBy("region", F.col("home").alias("q")).agg(F.max(F.array_min("near")).alias("radius"))
+        radius = radius.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("q", "radius"))).alias("radius"))  # CHUNK_PIVOTS at most
+        ahead = shared.kept(asking.join(radius, "region"), "ahead")
+        met = own.join(shared.if_small(ahead), "region")
+        least = F.array_min("near")
+
+        def within(q: Column) -> Column:
+            far, most = F.get("near", q), F.try_element_at("radius", q)
+            return (F.col("asks") & (F.col("home") == q)) | (most.isNotNull() & (far <= least + 2 * t) & (far <= most + t))
+
+        windows = F.filter(F.sequence(F.lit(0), F.size("near") - 1), within)
+        goes = F.explode(F.when(F.col("asking") <= half, F.array(F.lit(-1))).otherwise(windows)).alias("q")
+        goes = met.select("region", "d1", "d2", "asks", "home", "now", goes)
+        goes = goes.select("region", "d1", "d2", F.xxhash64("region", "q", F.lit(depth)).alias("to"), (F.col("asks") & F.col("q").isin(-1) | F.col("asks") & (F.col("home") == F.col("q"))).alias("asks"), F.col("now").alias("label"))
+        following = shared.kept(deep.drop("asks", "label").join(goes, ["region", "d1", "d2"]).select("comp", F.col("to").alias("region"), "d1", "d2", "shingles", "asks", "label"), "large")
+        shared.done(rows, sizes, deep, pivots, measured, label, own, ahead)
         rows = following
     out = found[0]
     for more in found[1:]:
