@@ -15,7 +15,7 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", "/tmp/veilspark-warehouse").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", "/tmp/veilspark-warehouse").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

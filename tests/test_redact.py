@@ -123,6 +123,62 @@ def test_single_batch_iter_async_and_distinct(spark):
     assert [r["redacted_text"] for r in api.redact_batch(spark, texts, redactor, referential_integrity=True)] == ["EMAIL_1", "none", "EMAIL_1"]
 
 
+def test_a_filter_does_not_scan_twice(spark):
+    """Predicates on results stay above the one Project that makes them."""
+    rows = Redactor.of(["NL"]).redact(from_texts(spark, ["x é"])).select("doc_seq", F.size("detections").alias("n"), "redacted_text")
+    plain, filtered = (df._jdf.queryExecution().optimizedPlan().toString() for df in (rows, rows.where("n > 0")))
+    for part in ("regexp_extract_all(_vs_t", "ArrowEvalPython", "rand(0)"):
+        assert filtered.count(part) == plain.count(part) > 0, part
+    assert "Filter" not in plain.split("rand(0)")[0] and "Filter" in filtered.split("rand(0)")[0]
+
+
+def test_input_columns_are_never_replaced(spark):
+    rows = spark.createDataFrame([(1, "a@x.org", "web", "mine")], "doc_id long, text string, source string, detections string")
+    with pytest.raises(ValueError, match="source"):
+        Redactor.of(["NL"]).redact(rows)
+    got = Redactor.of(["NL"]).redact(rows, prefix="pii_").first()
+    assert (got["source"], got["detections"], got["pii_redacted_text"], got["pii_source"]) == ("web", "mine", "[EMAIL]", "rules")
+
+
+def test_extensions(spark):
+    """A country, a validator and a context rule of one's own."""
+    own = {"XX": [("BADGE", r"\bB\d{4}\b", "even", None), ("DESK", r"\bD\d{3}\b", None, ["desk"])]}
+    redactor = Redactor.of(["XX"], more=own).with_validator("even", lambda m: F.right(m, F.lit(1)).cast("int") % 2 == 0).with_context_rule("BADGE", lambda x: x["before"].endswith("no "))
+    texts = ["B1234 B1235 no B1236", "desk D123", "D123"]
+    assert [r["redacted_text"] for r in api.redact_batch(spark, texts, redactor)] == ["[BADGE] B1235 no B1236", "desk [DESK]", "D123"]
+
+
+def test_iterator_is_lazy(spark):
+    taken = []
+
+    def texts():
+        for t in ("a@x.org", "b", "c"):
+            taken.append(t)
+            yield t
+
+    results = api.redact_iter(spark, texts(), Redactor.of(["NL"]))
+    assert next(results)["redacted_text"] == "[EMAIL]" and taken == ["a@x.org"]
+
+
+def test_long_dense_text_and_contexts(spark):
+    """Offsets and contexts across blocks of 150 code points, in ASCII and beyond."""
+    for filler in ("word ", "wörd \U0001f642 "):
+        text = "".join(f"{filler}u{i}@x.org IP 10.0.{i % 250}.7 " for i in range(300))
+        got = Redactor(Catalog(countries=())).redact(from_texts(spark, [text])).first()
+        assert len(got["detections"]) == 600 and all(text[d["start"] : d["end"]] == d["text"] for d in got["detections"])
+        assert got["redacted_text"] == "".join(f"{filler}[EMAIL] IP [IP_ADDRESS] " for _ in range(300))
+
+
+def test_distinct_stream(spark, tmp_path):
+    from veilspark.streaming.stream import distinct_stream
+
+    rows = from_texts(spark, ["a", "b", "a", None, ""])
+    rows.write.parquet(str(tmp_path / "in"))
+    out = distinct_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    out.writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["text"] or "") for r in spark.table("once").collect()) == ["", "a", "b"]
+
+
 def test_plan_is_row_local(spark):
     plan = Redactor(Catalog(countries=("NL",)), normalize=False).redact(from_texts(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Join" not in plan

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import asyncio
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 from pyspark.sql import Row, SparkSession
 
@@ -27,8 +28,12 @@ def redact(spark: SparkSession, text: str | None, redactor: Redactor | None = No
     return redact_batch(spark, [text], redactor, referential_integrity)[0]
 
 
-def redact_iter(spark: SparkSession, texts: Sequence[str | None], redactor: Redactor | None = None) -> Iterator[Row]:
-    yield from (redactor or Redactor()).redact_iter(from_texts(spark, texts).orderBy("doc_seq"))
+def redact_iter(spark: SparkSession, texts: Iterable[str | None], redactor: Redactor | None = None, batch: int = 1) -> Iterator[Row]:
+    """A result for each text in turn.  No more than `batch` texts are taken ahead of the results, so `texts` may be endless; by default a text is
+    taken when its result is asked for.  A larger `batch` saves a Spark job for each text."""
+    rest = iter(texts)
+    while some := list(islice(rest, batch)):
+        yield from redact_batch(spark, some, redactor)
 
 
 async def aredact_batch(spark: SparkSession, texts: Sequence[str | None], redactor: Redactor | None = None, max_concurrency: int = 4) -> list[Row]:

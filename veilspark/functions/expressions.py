@@ -20,7 +20,7 @@ def digits(clean: Column) -> Column:
 
 def weighted(d: Column, weights: list[int]) -> Column:
     """Sum of the first digits times the weights."""
-    terms = F.zip_with(F.slice(d, 1, len(weights)), F.array(*map(F.lit, weights)), lambda a, b: a * b)
+    terms = F.zip_with(F.slice(d, 1, len(weights)), F.expr(f"array({', '.join(map(str, weights))})"), lambda a, b: a * b)
     return F.aggregate(terms, F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0)))
 
 
@@ -37,14 +37,27 @@ def match_spans(text: Column, regex: Column) -> Column:
         e = s + F.length(pair["m"])
         return F.struct(e.alias("at"), F.array_append(state["out"], F.struct(s.alias("s"), e.alias("e"), pair["m"].alias("m"))).alias("out"))
 
-    pairs = F.zip_with(F.split(text, regex, -1), F.regexp_extract_all(text, regex, F.lit(0)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    found = F.aggregate(F.filter(pairs, lambda p: p["m"].isNotNull()), start, step)["out"]
-    return F.when(F.regexp_like(text, regex), found).otherwise(F.array().cast(kind))
+    def spans(found: Column) -> Column:
+        pairs = F.zip_with(F.slice(F.split(text, regex, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+        return F.when(F.size(found) > 0, F.aggregate(pairs, start, step)["out"]).otherwise(F.array().cast(kind))
 
+    return let(F.regexp_extract_all(text, regex, F.lit(0)), spans)
 
-def left_context(text: Column, start: Column, n: int) -> Column:
-    return F.substring(text, F.greatest(start - n + 1, F.lit(1)), F.least(start, F.lit(n)))
 
+def blocks(text: Column, n: int) -> Column:
+    """`text` in pieces of `n` code points, so that a context is cut from two of them and not from the whole text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{n}}}"), F.lit(0))
 
-def right_context(text: Column, end: Column, n: int) -> Column:
-    return F.substring(text, end + 1, F.lit(n))
+
+def left_context(pieces: Column, start: Column, n: int) -> Column:
+    """Up to `n` code points before offset `start` of a text in `blocks` of `n`."""
+    k = F.floor(start / n).cast("int")
+    two = F.concat(F.when(k > 0, F.get(pieces, k - 1)).otherwise(F.lit("")), F.coalesce(F.get(pieces, k), F.lit("")))
+    return F.when(k > 0, F.substring(two, start - k * n + 1, F.lit(n))).otherwise(F.substring(two, F.lit(1), start))
+
+
+def right_context(pieces: Column, end: Column, n: int) -> Column:
+    """Up to `n` code points from offset `end` on."""
+    k = F.floor(end / n).cast("int")
+    two = F.concat(F.coalesce(F.get(pieces, k), F.lit("")), F.coalesce(F.get(pieces, k + 1), F.lit("")))
+    return F.substring(two, end - k * n + 1, F.lit(n))

@@ -139,10 +139,15 @@ BY_TYPE: dict[str, list[Rule]] = {
 }
 
 
-def suppressed(x: Match) -> Column:
-    """Whether any rule that applies to the match's type discards it."""
+#: The types whose rules look at the context.
+TYPED = tuple(BY_TYPE)
+
+
+def suppressed(x: Match, more: tuple[tuple[str, Rule], ...] = ()) -> Column:
+    """Whether any rule that applies to the match's type, of the table or of `more` (type, rule), discards it."""
     typed = None
-    for kind, rules in BY_TYPE.items():
+    for kind in dict.fromkeys((*BY_TYPE, *(kind for kind, _ in more))):
+        rules = [*BY_TYPE.get(kind, []), *(rule for other, rule in more if other == kind)]
         any_of = rules[0](x)
         for rule in rules[1:]:
             any_of = any_of | rule(x)

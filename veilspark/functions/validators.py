@@ -224,9 +224,9 @@ VALIDATORS: dict[str, Rule] = {
 }
 
 
-def validate(name: Column, text: Column, names: list[str] | None = None) -> Column:
-    """Whether `text` passes the validator `name`; true where the name is null or unknown."""
-    out = None
-    for key in names if names is not None else VALIDATORS:
-        out = F.when(name == key, VALIDATORS[key](text)) if out is None else out.when(name == key, VALIDATORS[key](text))
+def validate(name: Column, text: Column, names: list[str] | None = None, more: dict[str, Rule] | None = None) -> Column:
+    """Whether `text` passes the validator `name`, of `more` or registered; true where the name is null or unknown."""
+    known, out = VALIDATORS | (more or {}), None
+    for key in (k for k in (names if names is not None else known) if k in known):
+        out = F.when(name == key, known[key](text)) if out is None else out.when(name == key, known[key](text))
     return F.lit(True) if out is None else F.coalesce(out, F.lit(True))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import suppressors
 from veilspark.functions.expressions import match_spans
-from veilspark.functions.validators import VALIDATORS
+from veilspark.functions.validators import VALIDATORS, validate
 from veilspark.operators import evaluate
 from veilspark.operators.labels import label_table, redact_with_labels
 from veilspark.operators.redact import Redactor, resolved
@@ -47,6 +47,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.size("detections") > 0).select("doc_id", F.size("detections").alias("n_detections"), "redacted_text")
 
 
+def redact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by the rules of all countries, with dates."""
+    found = Redactor(detect_dates=True).redact(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    types = F.array_join(F.array_sort(evaluate.distinct_types(F.col("detections"))), ",")
+    return found.select("doc_id", F.size("detections").cast("long").alias("n_detections"), types.alias("types"), "redacted_text")
+
+
 # -- validators ------------------------------------------------------------------------------------------------------------------
 
 def _sum(weights: list[int]) -> str:
@@ -71,6 +78,27 @@ _FNR = _eleven([3, 7, 6, 1, 8, 9, 4, 5, 2], 10) + " AND " + _eleven([5, 4, 3, 2,
 _EE1, _EE2 = _sum([1, 2, 3, 4, 5, 6, 7, 8, 9, 1]), _sum([3, 4, 5, 6, 7, 8, 9, 1, 2, 3])
 _ES = "'TRWAGMYFPDXBNJZSQVHLCKE'"
 
+#: Formats without a check digit: (what is dropped in front, the form of the rest).  Their candidates are good, a character short, one long, or
+#: have a letter for the last digit, by the key modulo 4.
+FORMS = {
+    "vat_nl": ("NL", "[0-9]{9}B[0-9]{2}"), "vat_de": ("DE", "[0-9]{9}"), "vat_fr": ("FR", "[0-9A-HJ-NP-Z]{2}[0-9]{9}"), "vat_lu": ("LU", "[0-9]{8}"), "vin": ("", "[0-9A-HJ-NPR-Z]{17}"),
+    "bic": ("", "[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?"), "kvk": ("", "[0-9]{8}"),
+}
+
+
+def _varied(name: str, c: Column) -> Column:
+    if name not in FORMS:
+        return c
+    k, n = F.col("o_orderkey") % 4, F.length(c)
+    return F.when(k == 1, F.left(c, n - 1)).when(k == 2, F.concat(c, F.lit("7"))).when(k == 3, F.concat(F.left(c, n - 1), F.lit("O"))).otherwise(c)
+
+
+def _varied_sql(name: str, c: str) -> str:
+    if name not in FORMS:
+        return c
+    return f"(SELECT CASE o_orderkey % 4 WHEN 1 THEN left(z, length(z) - 1) WHEN 2 THEN z || '7' WHEN 3 THEN left(z, length(z) - 1) || 'O' ELSE z END FROM (SELECT {c} AS z))"
+
+
 #: validator: (lead, number of further digits, tail in SQL, SQL over the candidate c)
 VALIDATED: dict[str, tuple[str, int, str, str]] = {
     "bsn": ("", 9, "''", f"{_sum([9, 8, 7, 6, 5, 4, 3, 2, -1])} % 11 = 0 AND {_sum([9, 8, 7, 6, 5, 4, 3, 2, -1])} <> 0"),
@@ -79,7 +107,7 @@ VALIDATED: dict[str, tuple[str, int, str, str]] = {
     "belgian_vat": ("0", 9, "''", "97 - substr(c, 1, 8)::BIGINT % 97 = substr(c, 9, 2)::INT"),
     "vat_nl": ("NL", 9, "'B01'", "true"),
     "vat_de": ("DE", 9, "''", "true"),
-    "vat_fr": ("FR", 10, "''", "false"),
+    "vat_fr": ("FR", 11, "''", "false"),
     "vat_lu": ("LU", 8, "''", "true"),
     "french_nir": ("1", 14, "''", "97 - substr(c, 1, 13)::BIGINT % 97 = substr(c, 14, 2)::INT"),
     "vin": ("WVW", 14, "''", "true"),
@@ -136,15 +164,17 @@ def _validator_query(name: str) -> Query:
     lead, n, _, _ = VALIDATED[name]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(_candidate(lead, n), _tail(name)).alias("candidate"))
-        return rows.select("o_orderkey", "candidate", VALIDATORS[name](F.col("candidate")).alias("valid"))
+        rows = _table(spark, sf_dir, "orders").select("o_orderkey", _varied(name, F.concat(_candidate(lead, n), _tail(name))).alias("candidate"))
+        return rows.select("o_orderkey", "candidate", validate(F.lit(name), F.col("candidate")).alias("valid"))  # by the dispatch
 
     return query
 
 
 for _name, (_lead, _n, _end, _sql) in VALIDATED.items():
     _made = f"'{_lead}' || right('{'0' * _n}' || (o_orderkey * 649940449 + 31)::VARCHAR, {_n}) || {_end}"
-    _add(f"validate_{_name}", _validator_query(_name), f"SELECT o_orderkey, c AS candidate, ({_sql}) AS valid FROM (SELECT o_orderkey, {_made} AS c FROM orders)")
+    if _name in FORMS:
+        _sql = f"regexp_full_match(regexp_replace(c, '^{FORMS[_name][0]}', ''), '{FORMS[_name][1]}')"
+    _add(f"validate_{_name}", _validator_query(_name), f"SELECT o_orderkey, c AS candidate, ({_sql}) AS valid FROM (SELECT o_orderkey, {_varied_sql(_name, _made)} AS c FROM orders)")
 
 
 def _other_validators(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +185,18 @@ def _other_validators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(each).groupBy("v.validator").agg(F.count(F.lit(1)).alias("candidates"), F.sum(F.col("v.valid").cast("long")).alias("valid"))
 
 
-_add("validate_others", _other_validators)
+_DIGITS = "list_transform(range(1, 11), lambda i: substr(eleven, i, 1)::INTEGER)"
+_ISO = f"(11 - list_reduce(list_prepend(10, {_DIGITS}), lambda p, d: CASE WHEN (p + d) % 10 = 0 THEN 20 ELSE (p + d) % 10 * 2 END % 11)) % 10 = substr(eleven, 11, 1)::INTEGER"
+_ODD = "[1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23]"
+_PLACE = "strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr(cf, i, 1))"
+_CF = f"list_sum(list_transform(range(1, 16), lambda i: CASE WHEN i % 2 = 1 THEN ({_ODD})[{_PLACE}] WHEN {_PLACE} > 10 THEN {_PLACE} - 11 ELSE {_PLACE} - 1 END)) % 26 = ascii(substr(cf, 16, 1)) - 65"
+_add("validate_others", _other_validators, f"""
+WITH r AS (SELECT '1' || right('0000000000' || (o_orderkey * 649940449 + 31)::VARCHAR, 10) AS eleven, 'RSSMRA85T10A' || right('000' || o_orderkey::VARCHAR, 3) || 'S' AS cf, sha1(o_orderkey::VARCHAR) AS hex FROM orders),
+v AS (
+  SELECT 'german_tax_id' AS validator, {_ISO} AS valid FROM r UNION ALL SELECT 'croatian_oib', {_ISO} FROM r UNION ALL SELECT 'italian_cf', {_CF} FROM r
+  UNION ALL SELECT 'high_entropy', list_aggregate(string_split(hex, ''), 'entropy') >= 3.0 - 1e-12 FROM r)
+SELECT validator, count(*) AS candidates, sum(valid::BIGINT)::BIGINT AS valid FROM v GROUP BY validator
+""")
 
 # -- scans -----------------------------------------------------------------------------------------------------------------------
 
@@ -201,8 +242,14 @@ def _countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in available_countries()], "country string")
 
 
-_add("catalog_by_country", _catalog_rows)
-_add("available_countries", _countries)
+#: (country, rules, with a validator, that need a context word), counted from the survey's tables of rules.
+_COUNTED = (
+    "AT 8 2 2, BE 12 3 5, BG 8 2 1, CH 10 3 2, CY 10 2 1, CZ 8 3 1, DE 15 4 7, DK 9 4 3, EE 8 3 1, EL 10 4 1, ES 10 3 1, FI 8 3 2, FR 12 3 6, HR 9 4 1, HU 10 4 2, IE 9 3 1, IS 7 2 3, "
+    "IT 10 3 1, LT 9 3 0, LU 11 2 2, LV 9 2 1, MT 8 2 1, NL 15 5 2, NO 9 4 1, PL 9 4 0, PT 9 3 0, RO 7 2 1, SE 12 4 4, SHARED 39 7 5, SI 9 3 1, SK 7 3 1, UK 12 3 1"
+)
+_SPLIT = f"SELECT string_split(x, ' ') AS c FROM (SELECT unnest(string_split('{_COUNTED}', ', ')) AS x)"
+_add("catalog_by_country", _catalog_rows, f"SELECT c[1] AS country, c[2]::BIGINT AS rules, c[3]::BIGINT AS validated, c[4]::BIGINT AS context FROM ({_SPLIT})")
+_add("available_countries", _countries, f"SELECT c[1] AS country FROM ({_SPLIT}) WHERE c[1] <> 'SHARED'")
 
 # -- context rules -----------------------------------------------------------------------------------------------------------------
 
@@ -266,25 +313,37 @@ def _resolved_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("l_orderkey", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.priority").alias("priority"))
 
 
-_add("resolve_overlaps", _resolved_spans)
+_add("resolve_overlaps", _resolved_spans, """
+WITH RECURSIVE x AS (
+  SELECT l_orderkey, (l_partkey % 40)::INTEGER AS s, (l_partkey % 40 + 1 + l_suppkey % 9)::INTEGER AS e, (1 + l_linenumber % 3)::INTEGER AS p,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY 1 + l_linenumber % 3 DESC, 1 + l_suppkey % 9 DESC, l_linenumber, l_partkey % 40) AS n FROM lineitem
+), r AS (
+  SELECT l_orderkey, n, [{'s': s, 'e': e, 'p': p}] AS kept FROM x WHERE n = 1
+  UNION ALL SELECT x.l_orderkey, x.n, CASE WHEN len(list_filter(r.kept, lambda y: x.s < y.e AND y.s < x.e)) > 0 THEN r.kept ELSE list_append(r.kept, {'s': x.s, 'e': x.e, 'p': x.p}) END
+  FROM r JOIN x ON x.l_orderkey = r.l_orderkey AND x.n = r.n + 1
+), last AS (SELECT l_orderkey, unnest(max_by(kept, n)) AS k FROM r GROUP BY l_orderkey)
+SELECT l_orderkey, k.s AS s, k.e AS e, k.p AS priority FROM last
+""")
 
 
 def _shared_redactor() -> Redactor:
     return Redactor(Catalog(countries=()))
 
 
-def _redacted(table: str, key: list[str], text: str) -> Query:
+def _redacted(table: str, key: list[str], text: str, redactor: Callable[[], Redactor] = _shared_redactor) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = _shared_redactor().redact(_spread(_table(spark, sf_dir, table).select(*key, text)), text)
-        return found.select(*key, F.size("detections").cast("long").alias("n_detections"), F.length("redacted_text").cast("long").alias("redacted_chars"))
+        found = redactor().redact(_spread(_table(spark, sf_dir, table).select(*key, text)), text)
+        return found.select(*key, F.size("detections").cast("long").alias("n_detections"), "redacted_text")
 
     return query
 
 
 _add("redact_documents_shared", _redacted("documents", ["doc_id"], "text"))
+_add("redact_documents_nl", _redacted("documents", ["doc_id"], "text", lambda: Redactor.of(["NL"])))
 _add("redact_conversations_shared", _redacted("conversations", ["conv_id", "turn"], "text"))
 _add("redact_pages_shared", _redacted("pages", ["page_id"], "html"))
 _add("redact_documents_four_countries", flagship)
+_add("redact_documents_all", redact_all)
 
 
 def _simple_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +363,12 @@ WITH d AS (
 SELECT text, type || '_' || row_number() OVER (PARTITION BY type ORDER BY doc_id, pos DESC) AS label FROM r WHERE k = 1
 """
 _add("labels", lambda spark, sf_dir: label_table(_simple_detections(spark, sf_dir)), _LABELS)
-_add("labelled_text", lambda spark, sf_dir: redact_with_labels(_simple_detections(spark, sf_dir)).where(F.size("detections") > 0).select("doc_seq", F.length("labelled_text").cast("long").alias("chars")))
+_add("labelled_text", lambda spark, sf_dir: redact_with_labels(_simple_detections(spark, sf_dir)).where(F.size("detections") > 0).select("doc_seq", F.length("labelled_text").cast("long").alias("chars")), f"""
+WITH l AS ({_LABELS.replace('WITH d AS', 'WITH d AS', 1)}), m AS (
+  SELECT doc_id, n, unnest(regexp_extract_all(f, '{SHARED[0][1]}')) AS text FROM (SELECT doc_id, length(text) AS n, {_FOLDED} AS f FROM documents)
+  UNION ALL SELECT doc_id, n, unnest(regexp_extract_all(f, '{SHARED[4][1]}')) FROM (SELECT doc_id, length(text) AS n, {_FOLDED} AS f FROM documents))
+SELECT doc_id AS doc_seq, (any_value(n) + sum(length(label) - length(text)))::BIGINT AS chars FROM m JOIN l USING (text) GROUP BY doc_id
+""")
 
 
 # -- structural dates ---------------------------------------------------------------------------------------------------------------------
@@ -325,11 +389,11 @@ def _built_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.operators.structural import delimited_dates
 
     day = F.date_format("o_orderdate", "dd/MM/yyyy")
-    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("name;dob;city\nA;"), day, F.lit(";x\nBB;"), day, F.lit(";y")).alias("text"))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("name;dob;city\n"), F.col("o_orderkey").cast("string"), F.lit(";"), day, F.lit(";x\nBB;"), day, F.lit(";y")).alias("text"))
     return rows.select("o_orderkey", F.transform(delimited_dates(F.col("text")), lambda x: x["s"]).alias("d")).select("o_orderkey", F.array_join("d", ",").alias("starts"))
 
 
-_add("delimited_dates", _built_csv, "SELECT o_orderkey, '16,32' AS starts FROM orders")
+_add("delimited_dates", _built_csv, "SELECT o_orderkey, (15 + length(o_orderkey::VARCHAR))::VARCHAR || ',' || (31 + length(o_orderkey::VARCHAR))::VARCHAR AS starts FROM orders")
 
 # -- duplicates, rates, evaluation -----------------------------------------------------------------------------------------------------------
 
@@ -401,3 +465,8 @@ def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("examples_per_key", _examples, "SELECT o_orderpriority, o_orderkey, n FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n FROM orders) WHERE n <= 3")
+
+from veilspark.plans import built_queries  # noqa: E402
+
+QUERIES |= built_queries.QUERIES
+ORACLES |= built_queries.ORACLES

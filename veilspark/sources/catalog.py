@@ -5,15 +5,17 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.sources.catalog_national import NATIONAL
 from veilspark.sources.catalog_shared import SHARED
+from veilspark.sources.pattern_needs import needs_of
 
-ROW = "struct<rule:int,country:string,ordinal:int,type:string,regex:string,validator:string,needs:array<string>,required:boolean,literal:string,digit:boolean>"
+ROW = "struct<rule:int,country:string,ordinal:int,type:string,regex:string,validator:string,needs:array<string>,required:boolean,literal:string,char:string,digits:int,run:int>"
 
 
 class UnknownCountry(ValueError):
@@ -57,41 +59,43 @@ def required_literal(regex: str) -> str | None:
     return "".join(plain[:-1] if found[2] else plain) or None
 
 
-def requires_digit(regex: str) -> bool:
-    """Whether every match holds a digit."""
-    return all(re.search(r"\\d(?![?*]|\{0)", part) for part in outer_parts(regex))
-
-
 @dataclass(frozen=True)
 class Catalog:
     """Immutable.  `countries` None: all; order of explicit countries is kept and shared rules come last among ties."""
 
     countries: tuple[str, ...] | None = None
     custom: tuple[tuple[str, str], ...] = field(default=())
+    #: Countries of one's own, or other rules for a known one: (code, ((type, regex, validator or None, keywords or None), ...)).
+    more: tuple[tuple[str, tuple[tuple, ...]], ...] = field(default=())
 
     @classmethod
-    def of(cls, countries: Sequence[str] | None = None) -> Catalog:
+    def of(cls, countries: Sequence[str] | None = None, more: dict[str, Sequence[tuple]] | None = None) -> Catalog:
+        """`more`: rules of countries of one's own, by code: (type, regex, validator or None, keywords or None) each."""
+        own = tuple(sorted((code.upper(), tuple((*r[:3], None if r[3] is None else tuple(r[3])) for r in rules)) for code, rules in (more or {}).items()))
         if countries is None:
-            return cls()
+            return cls(more=own)
         codes = tuple(dict.fromkeys(c.upper() for c in countries))
-        if missing := [c for c in codes if c not in NATIONAL]:
+        if missing := [c for c in codes if c not in NATIONAL and c not in dict(own)]:
             raise UnknownCountry(f"no rules for {', '.join(missing)}; known: {', '.join(available_countries())}")
-        return cls(codes)
+        return cls(codes, more=own)
 
     def with_custom(self, name: str, regex: str) -> Catalog:
         """A catalog with one more rule, which is active for any countries."""
-        return Catalog(self.countries, (*self.custom, (name, regex)))
+        return replace(self, custom=(*self.custom, (name, regex)))
 
+    @lru_cache(maxsize=32)  # noqa: B019
     def rows(self) -> list[dict]:
-        slices = [("SHARED", SHARED), *sorted(NATIONAL.items())] if self.countries is None else [*((c, NATIONAL[c]) for c in self.countries), ("SHARED", SHARED)]
+        national = NATIONAL | dict(self.more)
+        slices = [("SHARED", SHARED), *sorted(national.items())] if self.countries is None else [*((c, national[c]) for c in self.countries), ("SHARED", SHARED)]
         slices.append(("CUSTOM", [(name, regex, None, None) for name, regex in self.custom]))
         out = []
         for country, rules in slices:
             for ordinal, (kind, regex, validator, words) in enumerate(rules, 1):
+                digits, run, char = needs_of(regex)
                 out.append({
                     "rule": len(out), "country": country, "ordinal": ordinal, "type": kind, "regex": f"(?Ud){regex}", "validator": validator,
                     "needs": sorted({w.lower() for w in words}) if words else None, "required": words is not None,
-                    "literal": required_literal(regex), "digit": requires_digit(regex),
+                    "literal": required_literal(regex), "char": char, "digits": digits, "run": run,
                 })
         return out
 
