@@ -21,9 +21,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that at least 10 documents share; n_chars follows.  An emptied document stays, empty."""
-    out = line_dedup.line_dedup(docs)
-    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return out.select(*[text.alias("text") if c == "text" else F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    kept, n, dropped = "_ld_text", "_ld_n_lines", "_ld_n_dropped"
+    out = line_dedup.line_dedup(docs, names=(kept, n, dropped))
+    new = {"text": F.col(kept), "n_chars": F.length(kept).cast("long")}
+    return out.select(*[F.when(F.col(dropped) > 0, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
