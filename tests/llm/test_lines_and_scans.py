@@ -154,3 +154,28 @@ def test_pii_model_finds_reliable_labelers(spark):
     assert state["prior"][0] == pytest.approx(0.6, abs=0.05)
     for j, q in enumerate((0.95, 0.9, 0.85, 0.55)):
         assert state["yes"][j] == pytest.approx(q, abs=0.06) and state["no"][j] == pytest.approx(1 - q, abs=0.08)
+
+
+def test_line_dedup_with_clashing_columns(make):
+    """Input columns named as results give way; the pipeline's stage keeps them."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    rows = make([(i, f"same line\nown {'abcdefghijkl'[i]}", None) for i in range(12)] + [(20, None, None), (21, "", None)])
+    clash = rows.withColumn("n_lines", F.lit("x")).withColumn("n_dropped", F.lit("y")).withColumn("kept_text", F.lit("z"))
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in line_dedup.line_dedup(clash).collect()}
+    assert got[3] == (2, 1, "own d") and got[20] == got[21] == (1, 0, "")
+    out = corpus_pipeline.lines(rows.sparkSession, clash, "")
+    assert out.columns == clash.columns
+    by_id = {r["doc_id"]: r for r in out.collect()}
+    assert by_id[3]["text"] == "own d" and by_id[3]["n_lines"] == "x" and by_id[20]["text"] is None
+
+
+def test_chats_with_another_parts_column(make):
+    from pyspark.sql import functions as F
+
+    from veilspark.llm import chat_format
+
+    rows = make([(1, "hi", None)]).select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), "text", F.lit("none").alias("parts"))
+    assert chat_format.parsed(chat_format.format_chats(rows).first()["formatted"])[0][:2] == ("user", "hi")

@@ -116,7 +116,7 @@ def parsed(formatted: str) -> list[tuple[str, str, int, int]]:
 def format_chats(rows: DataFrame) -> DataFrame:
     """FORMATTED rows from (conv_id, turn, role, text) or (conv_id, turn, role, parts)."""
     whole = [F.lit(None).cast(t.split(":")[1]).alias(t.split(":")[0]) for t in PART[7:-1].split(",")]
-    if "parts" not in rows.columns:
+    if not dict(rows.dtypes).get("parts", "").startswith("array<struct"):  # another column of that name holds no parts
         text_part = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), *whole[2:])
         rows = rows.withColumn("parts", F.array(text_part))
     turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn"), F.col("role"), F.col("parts").cast(f"array<{PART}>").alias("parts")).alias("t"))

@@ -8,7 +8,7 @@ When a level holds `fanout` runs they are merged into one of the next level.  Ru
 
 Defined results: a null or empty text is one empty line; keys shorter than `min_length` code points are never
 dropped; a repeated line counts once in its document; every row is a document, also where doc_ids repeat; an
-empty table gives an empty table; further columns of the input are kept (names with the prefix `_ld_` are taken).
+empty table gives an empty table; further columns of the input are kept, but for those named as results (names with the prefix `_ld_` are taken).
 """
 
 from __future__ import annotations
@@ -134,8 +134,11 @@ def frequent_lines(batches: Sequence[DataFrame], text: str = "text", min_docs: i
     return out
 
 
-def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", min_length: int = 1) -> DataFrame:
-    """`docs` with `kept_text`, `n_lines`, `n_dropped`: every line whose key is in `frequent` goes.
+MADE = ("kept_text", "n_lines", "n_dropped")
+
+
+def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", min_length: int = 1, names: Sequence[str] = MADE) -> DataFrame:
+    """`docs` with `kept_text`, `n_lines`, `n_dropped` (or `names`, which replace columns of the input): every line whose key is in `frequent` goes.
 
     Only (row key, key) pairs meet the frequent keys; the keys to drop are then gathered by document
     and joined to the texts.
@@ -150,17 +153,17 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", min_len
     bad = lambda line: F.array_contains("_ld_bad", key_of(shared.lower_ascii(line)))
     lines = lines.withColumn("_ld_kept", F.when(F.col("_ld_bad").isNull(), F.col("_ld_lines")).otherwise(F.filter("_ld_lines", lambda x: ~bad(x))))
     return lines.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.array_join("_ld_kept", "\n").alias("kept_text"),
-        F.size("_ld_lines").cast("long").alias("n_lines"),
-        (F.size("_ld_lines") - F.size("_ld_kept")).cast("long").alias("n_dropped"),
+        *[F.col(f"`{c}`") for c in docs.columns if c not in names],
+        F.array_join("_ld_kept", "\n").alias(names[0]),
+        F.size("_ld_lines").cast("long").alias(names[1]),
+        (F.size("_ld_lines") - F.size("_ld_kept")).cast("long").alias(names[2]),
     )
 
 
-def line_dedup(docs: DataFrame, text: str = "text", min_docs: int = 10, min_length: int = 1, n_batches: int = 4) -> DataFrame:
+def line_dedup(docs: DataFrame, text: str = "text", min_docs: int = 10, min_length: int = 1, n_batches: int = 4, names: Sequence[str] = MADE) -> DataFrame:
     """Drop, in every document, the lines whose key is found in at least `min_docs` documents."""
     frequent = frequent_lines(batches_of(docs, n_batches, text), text, min_docs, min_length)
-    return drop_lines(docs, frequent, text, min_length)
+    return drop_lines(docs, frequent, text, min_length, names)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
