@@ -244,7 +244,7 @@ def _steps(of: Redactor, text: str) -> tuple[tuple[str, Column, tuple[str, ...]]
         F.lit("rules").alias("source"), F.when(~x["country"].isin("SHARED", "CUSTOM"), x["country"]).alias("country"), F.lit("high").alias("confidence"),
     )).cast(f"array<{DETECTION}>")
     ordered = F.transform(F.array_sort(F.transform(final, lambda d: F.struct(d["start"].alias("a"), (-d["end"]).alias("b"), d["entity_type"].alias("c"), d.alias("d")))), lambda k: k["d"])
-    once = F.coalesce(F.when(F.rand(0) >= 0, ordered), F.array().cast(f"array<{DETECTION}>"))  # always `ordered`
+    once = F.coalesce(F.when(F.rand(0) + 1 >= 0, ordered), F.array().cast(f"array<{DETECTION}>"))  # always `ordered`
     return (*steps, ("detections", once, ("_vs_t", "_vs_map", "_vs_r")))
 
 
