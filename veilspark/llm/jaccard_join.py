@@ -262,16 +262,18 @@ def large_regions(rows: DataFrame, percent: int) -> DataFrame:
     pivot has met the whole region then.  Sets that links connect to the group's main component need not ask any more.  Asking sets that fit a task meet all chunks of
     their region, and that ends it.  More of them ask in the region of their nearest
     pivot q each, where they meet the sets y of its window: d(y, q) is at most t more than the region's radius and 2 t more than y's
-    own distance.  After `DEPTH` rounds the asking sets of a region are dealt into blocks that fit a task.  Sets are shuffled twice a round, by region and chunk.
+    own distance.  Where the windows hold more than that (distances near 1 say nothing), and after `DEPTH` rounds, the asking sets of a region are dealt into blocks that
+    fit a task, and each meets all chunks.  Sets are shuffled twice a round, by region and chunk.
     """
     t, half = 1 - percent / 100 + 1e-9, CHUNK_BYTES / 2
     node = F.xxhash64("d1", "d2")
-    rows = shared.kept(rows.select("comp", F.col("comp").alias("region"), "d1", "d2", "shingles", F.lit(True).alias("asks"), node.alias("label")), "large")
+    rows = shared.kept(rows.select("comp", F.col("comp").alias("region"), "d1", "d2", "shingles", F.lit(True).alias("asks"), node.alias("label"), F.lit(False).alias("stuck")), "large")
     found, main = [], None
     for depth in range(DEPTH + 1):
         weight = F.octet_length("shingles")
-        sizes = rows.groupBy("region").agg(F.sum(weight).alias("bytes"), F.sum(F.when(F.col("asks"), weight).otherwise(0)).alias("asking")).where("asking > 0")
-        sizes = shared.kept(sizes.withColumn("flat", (F.col("asking") <= half) | F.lit(depth == DEPTH)), "regionsizes")
+        sizes = rows.groupBy("region").agg(F.sum(weight).alias("bytes"), F.sum(F.when(F.col("asks"), weight).otherwise(0)).alias("asking"), F.max("stuck").alias("stuck"))
+        sizes = sizes.where("asking > 0").withColumn("flat", (F.col("asking") <= half) | F.col("stuck") | F.lit(depth == DEPTH))
+        sizes = shared.kept(sizes.drop("stuck"), "regionsizes")
         pick = lambda n: F.pmod(F.xxhash64(F.lit(depth), "d1", "d2"), n)  # noqa: B023, E731
         sized = rows.join(shared.if_small(sizes), "region").withColumn("chunks", F.ceil(F.col("bytes") / half))
         sized = sized.withColumn("blocks", F.ceil(F.col("asking") / half)).withColumn("chunk", pick(F.col("chunks")))
@@ -300,7 +302,7 @@ def large_regions(rows: DataFrame, percent: int) -> DataFrame:
         now = lambda key: F.coalesce(label["label"], key)  # noqa: B023, E731
         own = measured.where("home IS NOT NULL").select("comp", "region", F.col("a1").alias("d1"), F.col("a2").alias("d2"), "home", "near", "bytes", "asks")
         own = own.withColumn("own", node).join(label, F.col("own") == label["node"], "left").withColumn("now", now(F.col("own"))).drop("own", "node", "label")
-        own = shared.kept(own, "own")
+        own = own_kept = shared.kept(own, "own")
         if main is None:  # a label of the largest component; as a set of it, it stays in the same component in later rounds
             main = shared.kept(own.groupBy("comp", "now").count().groupBy("comp").agg(F.max_by("now", F.struct("count", "now")).alias("top")), "main")
         top = main.join(label, F.col("top") == label["node"], "left").select("comp", now(F.col("top")).alias("main"))
@@ -309,7 +311,7 @@ def large_regions(rows: DataFrame, percent: int) -> DataFrame:
         radius = own.where("asks").groupBy("region", F.col("home").alias("q")).agg(F.max(F.array_min("near")).alias("radius"))
         radius = radius.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("q", "radius"))).alias("radius"))  # CHUNK_PIVOTS at most
         ahead = shared.kept(asking.join(radius, "region"), "ahead")
-        met = own.join(shared.if_small(ahead), "region")
+        met = own.join(shared.if_small(ahead), "region")  # regions in which any set asks on
         least = F.array_min("near")
 
         def within(q: Column) -> Column:
@@ -317,11 +319,18 @@ def large_regions(rows: DataFrame, percent: int) -> DataFrame:
             return (F.col("asks") & (F.col("home") == q)) | (most.isNotNull() & (far <= least + 2 * t) & (far <= most + t))
 
         windows = F.filter(F.sequence(F.lit(0), F.size("near") - 1), within)
-        goes = F.explode(F.when(F.col("asking") <= half, F.array(F.lit(-1))).otherwise(windows)).alias("q")
-        goes = met.select("region", "d1", "d2", "asks", "home", "now", goes)
-        goes = goes.select("region", "d1", "d2", F.xxhash64("region", "q", F.lit(depth)).alias("to"), (F.col("asks") & F.col("q").isin(-1) | F.col("asks") & (F.col("home") == F.col("q"))).alias("asks"), F.col("now").alias("label"))
-        following = shared.kept(deep.drop("asks", "label").join(goes, ["region", "d1", "d2"]).select("comp", F.col("to").alias("region"), "d1", "d2", "shingles", "asks", "label"), "large")
-        shared.done(rows, sizes, deep, pivots, measured, label, own, ahead)
+        met = shared.kept(met.select("region", "d1", "d2", "asks", "home", "asking", "bytes", F.col("now").alias("label"), windows.alias("windows")), "met")
+        # Windows that hold more than the blocks of asking sets would meet split nothing: the region stays whole and its blocks meet it next.
+        weighed = met.groupBy("region").agg(F.sum(F.col("bytes") * F.size("windows")).alias("reach"), F.sum("bytes").alias("all"), F.first("asking").alias("asking"))
+        weighed = weighed.select("region", (F.col("asking") <= half).alias("one"), (F.col("reach") > F.ceil(F.col("asking") / half) * F.col("all")).alias("stuck"))
+        weighed = shared.kept(weighed, "weighed")
+        goes = met.join(shared.if_small(weighed), "region").withColumn("whole", F.col("one") | F.col("stuck"))
+        goes = goes.select("region", "d1", "d2", "asks", "home", "label", "whole", "stuck", F.explode(F.when(F.col("whole"), F.array(F.lit(-1))).otherwise(F.col("windows"))).alias("q"))
+        asks = F.col("asks") & (F.col("whole") | (F.col("home") == F.col("q")))
+        goes = goes.select("region", "d1", "d2", F.xxhash64("region", "q", F.lit(depth)).alias("to"), asks.alias("asks"), "label", "stuck")
+        following = deep.drop("asks", "label").join(goes, ["region", "d1", "d2"]).select("comp", F.col("to").alias("region"), "d1", "d2", "shingles", "asks", "label", "stuck")
+        following = shared.kept(following, "large")
+        shared.done(rows, sizes, deep, pivots, measured, label, own_kept, ahead, met, weighed)
         rows = following
     out = found[0]
     for more in found[1:]:
