@@ -180,7 +180,7 @@ def train(cands: DataFrame) -> dict[str, float]:
 
 
 def scored(cand: Column, weights: dict[str, float]) -> Column:
-    """`cand` with the classifier's probability; naive-Bayes weights are averaged down, as features overlap."""
+    """`cand` with the classifier's probability: the log-linear model whose weights `train` takes from soft counts, a naive Bayes; overlapping features count in full."""
     table = F.create_map(*[F.lit(x) for f, w in sorted(weights.items()) for x in (f, float(w))])
     get = lambda f: F.coalesce(F.try_element_at(table, f), F.lit(0.0))
     z = lambda x: F.aggregate(x["feats"], F.lit(float(weights["bias"])), lambda a, f: a + get(f))
