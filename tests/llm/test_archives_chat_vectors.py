@@ -1,6 +1,7 @@
 """WARC, chat formatting and one-bit neighbours: round trips, brute force and edge cases."""
 
 import base64
+import gzip
 import hashlib
 
 import numpy as np
@@ -52,6 +53,36 @@ def test_warc_reads_other_archives(spark, tmp_path):
     assert {r["record_id"] for r in warc.read_warc(spark, f"file://{tmp_path}").collect()} == {*payloads, "<urn:uuid:b>"}
 
 
+def test_warc_odd_headers_versions_and_gzip(spark, tmp_path):
+    """A folded or odd header line does not end the chain; versions mix; gzip members unpack; what no chain covers is told."""
+    record = lambda i, extra=b"", v=b"1.1": b"WARC/%b\r\nWARC-Type: resource\r\n%bWARC-Record-ID: <urn:x:%d>\r\nContent-Length: 2\r\n\r\n%02d\r\n\r\n" % (v, extra, i, i)
+    parts = [record(1, b"X-Note: folded\r\n over: two lines\r\n\tand three\r\n"), record(2, b"no colon here\r\n", b"1.0"), record(3, b"", b"0.18")]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(map(gzip.compress, parts))[:-12])
+    (tmp_path / "d.warc").write_bytes(parts[0] + b"garbage" + parts[1])
+    (tmp_path / "e.warc").write_bytes(b"")
+    got = sorted((r["file"].rsplit("/")[-1], r["record_id"], bytes(r["payload"])) for r in warc.read_warc(spark, f"file://{tmp_path}").collect())
+    all_of = lambda f, n: [(f, f"<urn:x:{i}>", b"%02d" % i) for i in range(1, n + 1)]
+    assert [g for g in got if g[0] != "c.warc.gz"] == all_of("a.warc", 3) + all_of("b.warc.gz", 3) + all_of("d.warc", 1)
+    assert [g for g in got if g[0] == "c.warc.gz"][:2] == all_of("c.warc.gz", 2)
+    told = {r["file"].rsplit("/")[-1]: (r["size"] - r["covered"], r["records"], r["candidates"]) for r in warc.coverage(spark, f"file://{tmp_path}").collect()}
+    assert told["a.warc"] == told["b.warc.gz"] == (0, 3, 3) and told["d.warc"] == (7 + len(parts[1]), 1, 2) and "e.warc" not in told
+
+
+def test_warc_files_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SMALL", 100)
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    pages = [(i, "u", "x" * n + str(i), "") for i, n in enumerate([10, 90, 97, 98, 99, 1000, 1500, 1590, 1599, 5000, 5000, 30_000, 0])]
+    path = shared.new_path(spark, "test")
+    warc.write_warc(spark.createDataFrame([*pages, (99, "u", None, ""), (100, None, pages[5][2], "")], PAGES).repartition(1), path)
+    got = {r["page_id"]: r for r in warc.read_warc(spark, path).collect()}
+    assert {p: bytes(r["payload"]).decode() for p, r in got.items() if p not in (5, 99)} == {p[0]: p[2] for p in pages if p[0] != 5} | {100: pages[5][2]}
+    assert got[5]["record_type"] == "revisit" and got[5]["refers_to"] == 100 and got[99]["payload_bytes"] == 0
+    files = warc.read_warc(spark, path).groupBy("file").agg(F.sum("payload_bytes").alias("b"), F.count("*").alias("n")).collect()
+    assert all(f["b"] <= 4000 or f["n"] == 1 for f in files) and len(files) >= 6
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 100])
 def test_pointer_jumping(n):
     offset = np.arange(n) * 10

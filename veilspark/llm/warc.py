@@ -4,21 +4,25 @@ Writing: a row is a record's header, an empty line and its payload; the writer's
 CR LF CR LF, so the part files are plain WARC/1.0 files on any file system Spark can write to.  Of the records with equal payloads of at least
 `min_revisit_bytes` bytes, that with the largest page_id is a `response`; the others are `revisit` records without a payload.
 
-Reading: a task looks for the magic string in a file's bytes and finds, for each occurrence whose header can be parsed, the candidate
+Reading: a task looks for the magic string (of any version) in a file's bytes and finds, for each occurrence whose header can be parsed, the candidate
 (offset, offset of the successor).  Payloads may hold the magic, and even whole records.  Per file, pointer jumping over
 the candidates (doubling, log2(n) vectorised rounds) marks those that a chain from offset 0 reaches; all others
-are rejected, and the records come with their ids and payloads.  Files are bounded by `max_records`, so a file's bytes and its candidates fit a task.
+are rejected, and the records come with their ids and payloads.  Archives of gzip members are read unpacked, offsets being those of the unpacked bytes.
+A file is one task's work: files that this module writes are bounded by `max_records` and, where payloads are large, by FILE_BYTES.
 
 Defined results: null html is an empty payload; rows with the same page_id and payload are all responses, or all revisits, of it;
 a null page_id is smaller than any other (a revisit refers to null only where all are null); CR and LF in a url become spaces; an archive that is cut off keeps its records before
-the cut; empty tables give no records.
+the cut; a header line that starts with a blank continues the one before it, a line without a colon is ignored, of repeated fields the first counts;
+bytes that no chain covers are told by `coverage`; empty tables give no records.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import re
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import shared
 
-MAGIC = b"WARC/1.0\r\n"
+MAGIC = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
+GZIP = b"\x1f\x8b"
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -39,6 +44,9 @@ CANDIDATE = (
 RECORD = f"{CANDIDATE}, payload binary"
 #: Payloads reach Spark in batches of about so many bytes.
 BATCH_BYTES = 8_000_000
+COVERAGE = "file string, size long, records long, covered long, candidates long"
+#: Payload classes: up to SMALL bytes, then up to STEP times as much each; files of a class hold at most about FILE_BYTES of payload (or one record).
+SMALL, STEP, FILE_BYTES = 1 << 16, 16, 1 << 27
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -77,17 +85,22 @@ def record(row: DataFrame) -> Column:
 
 
 def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, max_records: int = 2000) -> None:
-    rows = planned(pages, min_revisit_bytes)
-    rows.select(record(rows).alias("value")).write.option("lineSep", END).option("compression", "none").option("maxRecordsPerFile", max_records).text(path)
-
-
-def _header(block: bytes) -> dict[bytes, bytes] | None:
-    out = {}
-    for row in block.split(b"\r\n"):
+    """The archives of `pages` in the folder `path`.  Large payloads are written by classes of size, so that files stay bounded in bytes."""
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    rows, low, high = planned(pages, min_revisit_bytes), -1, SMALL
+    while low < largest or low < 0:
+        own = rows.where(F.col("payload_bytes").between(low + 1, high)) if largest > SMALL else rows
+        most = min(max_records, max(1, FILE_BYTES // high))
+        own.select(record(own).alias("value")).write.mode("append").option("lineSep", END).option("compression", "none").option("maxRecordsPerFile", most).text(path)
+        low, high = high, high * STEP
+
+
+def _header(block: bytes) -> dict[bytes, bytes]:
+    out: dict[bytes, bytes] = {}
+    for row in re.sub(rb"\r\n[ \t]+", b" ", block).split(b"\r\n"):
         name, colon, value = row.partition(b":")
-        if not colon:
-            return None
-        out[name.strip().lower()] = value.strip()
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
     return out
 
 
@@ -98,13 +111,13 @@ def _page(value: bytes | None) -> int | None:
 
 def candidates_of(file: str, data: bytes) -> Iterator[tuple]:
     """A row of CANDIDATE for every occurrence of the magic with a header that can be parsed, wherever it is."""
-    at = data.find(MAGIC)
-    while at >= 0:
-        stop = data.find(b"\r\n\r\n", at)
-        head = _header(data[at + len(MAGIC) : stop]) if stop >= 0 else None
-        if head and head.get(b"content-length", b"").isdigit() and b"warc-type" in head:
+    for magic in MAGIC.finditer(data):
+        at, body = magic.span()
+        stop = data.find(b"\r\n\r\n", body)
+        head = _header(data[body:stop]) if stop >= 0 else {}
+        if head.get(b"content-length", b"").isdigit() and b"warc-type" in head:
             start, size = stop + 4, int(head[b"content-length"])
-            if start + size + 4 <= len(data) and data[start + size : start + size + 4] == b"\r\n\r\n":
+            if data[start + size : start + size + 4] == b"\r\n\r\n":
                 kind, payload = head[b"warc-type"].decode("utf-8", "replace"), data[start : start + size]
                 said = head.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("ascii", "replace")
                 digest = said if kind == "revisit" else base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -113,7 +126,6 @@ def candidates_of(file: str, data: bytes) -> Iterator[tuple]:
                 own, other = head.get(b"warc-record-id"), head.get(b"warc-refers-to")
                 ids = [None if x is None else x.decode("utf-8", "replace") for x in (own, other)]
                 yield file, at, start + size + 4, len(data), _page(own), kind, _page(other), url, length, digest, digest == said, *ids, start
-        at = data.find(MAGIC, at + 1)
 
 
 def reachable(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
@@ -140,41 +152,73 @@ def _columns(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array(list(c), k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * len(KINDS), KINDS, strict=True)]
 
 
-def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    shared.ship(spark)
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+def unpacked(data: bytes) -> bytes:
+    """Gzip members, one after another, as the bytes they hold; of a damaged or cut one what comes before the damage.  Other data as it is."""
+    if not data.startswith(GZIP):
+        return data
+    out = []
+    while data.startswith(GZIP):
+        member = zlib.decompressobj(wbits=31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
 
 
-def read_candidates(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+def _archives(spark: SparkSession, path: str, glob: str, make: Callable[[str, bytes], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays(_columns(list(candidates_of(file.as_py(), data.as_py()))), NAMES)
+                yield from make(file.as_py(), unpacked(data.as_py()))
+
+    shared.ship(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    return files.mapInArrow(scan, schema)
+
+
+def _chained(rows: list[tuple]) -> list[tuple]:
+    chain = reachable(np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64))
+    return [r for r, ok in zip(rows, chain, strict=True) if ok]
 
-    return _files(spark, path, glob).mapInArrow(scan, CANDIDATE)
+
+def read_candidates(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    def make(file: str, data: bytes) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays(_columns(list(candidates_of(file, data))), NAMES)
+
+    return _archives(spark, path, glob, make, CANDIDATE)
 
 
 def read_warc(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """The records of all archives in `path` whose names match `glob`: columns of RECORD, reachable ones only.  A revisit's payload is
     empty; its payload_bytes and payload_digest are what its header says."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, data in zip(batch.column(0), batch.column(1), strict=True):
-                data = data.as_py()
-                rows = list(candidates_of(file.as_py(), data))
-                chain = reachable(np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64))
-                rows, held = [r for r, ok in zip(rows, chain, strict=True) if ok], 0
-                part: list[tuple] = []
-                for k, row in enumerate(rows):
-                    part.append(row)
-                    held += row[2] - row[1]
-                    if held >= BATCH_BYTES or k == len(rows) - 1:
-                        payloads = pa.array([data[r[-1] : r[2] - 4] for r in part], pa.binary())
-                        yield pa.RecordBatch.from_arrays([*_columns(part), payloads], [*NAMES, "payload"])
-                        part, held = [], 0
-
-    return _files(spark, path, glob).mapInArrow(scan, RECORD)
+    def make(file: str, data: bytes) -> Iterator[pa.RecordBatch]:
+        rows, held = _chained(list(candidates_of(file, data))), 0
+        part: list[tuple] = []
+        for k, row in enumerate(rows):
+            part.append(row)
+            held += row[2] - row[1]
+            if held >= BATCH_BYTES or k == len(rows) - 1:
+                payloads = pa.array([data[r[-1] : r[2] - 4] for r in part], pa.binary())
+                yield pa.RecordBatch.from_arrays([*_columns(part), payloads], [*NAMES, "payload"])
+                part, held = [], 0
+
+    return _archives(spark, path, glob, make, RECORD)
+
+
+def coverage(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """COVERAGE of each archive: `covered` of its `size` bytes are records of the chain; a chain that breaks covers less than the file.
+    Files without a byte have no row, since Spark does not read them."""
+
+    def make(file: str, data: bytes) -> Iterator[pa.RecordBatch]:
+        rows = list(candidates_of(file, data))
+        chain = _chained(rows)
+        found = [file, len(data), len(chain), chain[-1][2] if chain else 0, len(rows)]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in found], [f.split()[0] for f in COVERAGE.split(", ")])
+
+    return _archives(spark, path, glob, make, COVERAGE)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
