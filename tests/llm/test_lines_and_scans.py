@@ -118,6 +118,20 @@ def test_allowed_words_do_not_hide_the_rest_of_a_run(make):
     assert not any(got[len(found) + i] for i in range(len(clean)))
 
 
+def test_runs_are_judged_by_their_own_class(make):
+    """A key behind a prefix, or beside another one, is judged by the class of its own run; one span for each key."""
+    hexes, alnum, base = "9F86D081884C7D659A2FEAA0C55AD015", "q7Rt2LxV9bNw4KsZ8dPf", "Zx9/kQ81m+b7TrLw02YpVc"
+    rows = ["id_" + hexes, hexes + "_id", "key-" + alnum + "-x", base, "a_" + hexes + "/" + alnum, "id_" + "0" * 32, hexes]
+    kinds = [["hex"], ["hex"], ["base64"], ["base64"], None, [], ["hex"]]  # of two spans the outer one stays
+    got = {r["doc_id"]: r["added"] for r in secret_scan.secret_spans(make([(i, t, None) for i, t in enumerate([*rows, None, ""])])).collect()}
+    for i, (t, want) in enumerate(zip(rows, kinds, strict=True)):
+        assert all(x["text"] == t[x["start"] : x["end"]] for x in got[i])
+        assert want is None or [x["kind"] for x in got[i]] == [f"entropy_{k}" for k in want], t
+    assert all(any(key[4:16] in x["text"] for x in got[4]) for key in (hexes, alnum)) and got[7] == got[8] == []
+    spans = [(x["start"], x["end"]) for x in got[4]]
+    assert not any(a != b and a[0] <= b[0] and b[1] <= a[1] for a in spans for b in spans)
+
+
 def test_window_entropy_is_incremental(make):
     import math
 

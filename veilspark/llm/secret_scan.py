@@ -3,9 +3,10 @@
 Base kinds (`assign`, `access`, `hex`) are leftmost non-overlapping matches whose failing ones are dropped.
 Beyond them, candidate strings (runs of at least `WINDOW` token characters that hold a letter and a digit) are
 scanned by a window: the counts of its characters and the sum of c * log2(c) are carried from position to position, so
-each step costs the same whatever the window's width.  A candidate belongs to the narrowest class (hexadecimal, alphanumeric,
-base64) that holds all its characters, and each class has its own threshold; the reported span is from the first to the
-last window that reaches it.  Allow-listed candidates (UUIDs, dates with words, checksums that are named so) and those that overlap a base span
+each step costs the same whatever the window's width.  Within a candidate every run of hexadecimal and of alphanumeric characters that is as long
+as the window is scanned by the threshold of the narrowest class that holds it, and the whole candidate by that of its own class, so that a key behind a prefix
+(`id_9F86...`) is judged as what it is; a reported span is from the first to the last window that reaches the threshold, and of
+two spans one of which holds the other the outer one stays (of equal ones the narrower class).  Allow-listed candidates (UUIDs, dates with words, checksums that are named so) and those that overlap a base span
 are not reported; placeholder words and counting sequences cut a candidate into pieces, which are scanned each.
 
 Defined results: null text is empty; no span is dropped or capped; rows are independent of each other, so copies, ties and
@@ -32,6 +33,7 @@ WINDOW = 20
 TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 #: (class, all its characters, bits a window must reach)
+RUNS = tuple(rf"[{c}]{{{WINDOW},}}+" for c in ("0-9a-fA-F", "A-Za-z0-9"))
 CLASSES = (("entropy_hex", r"^[0-9a-fA-F]+$", 3.0), ("entropy_alnum", r"^[A-Za-z0-9]+$", 3.7), ("entropy_base64", r"^[A-Za-z0-9+/_=-]+$", 3.85))
 #: What is known to be harmless, by the form of the whole candidate and by the 24 code points before it.
 ALLOWED = (
@@ -92,7 +94,11 @@ def entropy_spans(text: Column, allowed: tuple[str, ...] = ALLOWED, allowed_befo
         safe = lambda x, rest=safe, rx=rx: x["m"].rlike(rx) | rest(x)
     pieces = F.flatten(F.transform(F.filter(mixed, lambda x: ~safe(x)), lambda x: F.when(x["m"].rlike(words), _pieces(x, words)).otherwise(F.array(x))))
     pieces = F.filter(pieces, lambda x: (F.length(x["m"]) >= WINDOW) & is_mixed(x))
-    scanned = F.transform(pieces, lambda x: F.struct(x.alias("x"), _class_of(x["m"]).alias("c")))
+    return F.flatten(F.transform(pieces, lambda piece: _outer(_hits(F.filter(_runs(piece), is_mixed))))).cast(f"array<{_SPAN}>")
+
+
+def _hits(runs: Column) -> Column:
+    scanned = F.transform(runs, lambda x: F.struct(x.alias("x"), _class_of(x["m"]).alias("c")))
     scanned = F.transform(scanned, lambda y: F.struct(y["x"].alias("x"), y["c"].alias("c"), window_scan(y["x"]["m"], y["c"]["bits"]).alias("w")))
     hits = F.filter(scanned, lambda y: y["w"]["first"] >= 0)
     return F.transform(hits, lambda y: F.struct(
@@ -101,6 +107,29 @@ def entropy_spans(text: Column, allowed: tuple[str, ...] = ALLOWED, allowed_befo
     )).cast(f"array<{_SPAN}>")
 
 
+def _runs(piece: Column) -> Column:
+    """A piece and the runs in it that belong to narrower classes than it does, as spans of the text."""
+    inner = lambda rx: F.transform(
+        F.filter(spans(piece["m"], rx), lambda r: F.length(r["m"]) < F.length(piece["m"])),
+        lambda r: F.struct((piece["start"] + r["start"]).alias("start"), (piece["start"] + r["end"]).alias("end"), r["m"].alias("m")),
+    )
+    hexes, alnums = map(inner, RUNS)
+    return F.concat(hexes, F.filter(alnums, lambda r: ~r["m"].rlike(CLASSES[0][1])), F.array(piece)).cast("array<struct<start:int,end:int,m:string>>")
+
+
+def _outer(hits: Column) -> Column:
+    """The spans of one piece that no other of its spans holds; of equal ones the first, that is the narrowest class."""
+
+    def kept(found: Column) -> Column:
+        wider = lambda x, y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+        same = lambda x, y: (y["start"] == x["start"]) & (y["end"] == x["end"])
+        first = lambda x, i: F.forall(F.slice(found, F.lit(1), i), lambda y: ~same(x, y))
+        return F.filter(found, lambda x, i: ~F.exists(found, lambda y: wider(x, y)) & first(x, i))
+
+    # a one-element transform binds the spans once
+    return F.get(F.transform(F.array(hits), kept), F.lit(0))
+
+
 def _class_of(token: Column) -> Column:
     out = None
     for kind, rx, bits in CLASSES:
