@@ -3,7 +3,7 @@
 Base kinds (`assign`, `access`, `hex`) are leftmost non-overlapping matches whose failing ones are dropped.
 Beyond them, candidate strings (runs of at least `WINDOW` token characters that hold a letter and a digit) are
 scanned by a window: the counts of its characters and the sum of c * log2(c) are carried from position to position, so
-each step costs the same whatever the window's width.  Within a candidate every run of hexadecimal and of alphanumeric characters that is as long
+each step costs the same whatever the window's width.  Counts are held in 5 bits each, 12 to a long, so that a step writes 6 longs and not the whole alphabet.  Within a candidate every run of hexadecimal and of alphanumeric characters that is as long
 as the window is scanned by the threshold of the narrowest class that holds it, and the whole candidate by that of its own class, so that a key behind a prefix
 (`id_9F86...`) is judged as what it is; a reported span is from the first to the last window that reaches the threshold, and of
 two spans one of which holds the other the outer one stays (of equal ones the narrower class).  Allow-listed candidates (UUIDs, dates with words, checksums that are named so) and those that overlap a base span
@@ -32,6 +32,8 @@ KINDS = ("assign", "access", "hex")
 WINDOW = 20
 TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
+#: A count of at most WINDOW + 1 takes so many bits; so many of them fill a long.
+BITS, PER_LONG = 5, 12
 #: (class, all its characters, bits a window must reach)
 RUNS = tuple(rf"[{c}]{{{WINDOW},}}+" for c in ("0-9a-fA-F", "A-Za-z0-9"))
 CLASSES = (("entropy_hex", r"^[0-9a-fA-F]+$", 3.0), ("entropy_alnum", r"^[A-Za-z0-9]+$", 3.7), ("entropy_base64", r"^[A-Za-z0-9+/_=-]+$", 3.85))
@@ -51,19 +53,26 @@ _SPAN = "struct<kind:string,start:int,end:int,text:string,bits:double>"
 def window_scan(token: Column, threshold: Column) -> Column:
     """struct<first, last, best>: starts of the first and the last window that reach `threshold`, or -1; the most bits."""
     term = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
-    codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    units = F.array(*[F.lit(1 << BITS * i).cast("long") for i in range(PER_LONG)])
+    place = lambda code: F.struct(
+        F.call_function("div", code, F.lit(PER_LONG)).cast("int").alias("slot"), (code % PER_LONG * BITS).alias("shift"), F.get(units, code % PER_LONG).alias("unit")
+    )
+    codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: place(F.instr(F.lit(ALPHABET), c) - 1))
+    none = F.struct(F.lit(0).alias("slot"), F.lit(0).alias("shift"), F.lit(0).cast("long").alias("unit"))
+    count = lambda counts, x: F.call_function("shiftright", F.get(counts, x["slot"]), x["shift"]).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")).cast("int")
     zero = F.struct(
-        F.lit(0).alias("i"), F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("s"),
+        F.lit(0).alias("i"), F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // PER_LONG)).alias("counts"), F.lit(0.0).alias("s"),
         F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.lit(0.0).alias("best"),
     )
 
     def step(state: Column, pair: Column) -> Column:
         new, old, i = pair["new"], pair["old"], state["i"]
-        had = F.get(state["counts"], new)
+        had = count(state["counts"], new)
         s = state["s"] + F.get(term, had + 1) - F.get(term, had)
-        gone = F.get(state["counts"], old) + F.when(old == new, 1).otherwise(0)
-        s = F.when(old >= 0, s - F.get(term, gone) + F.get(term, gone - 1)).otherwise(s)
-        counts = F.transform(state["counts"], lambda c, j: c + (j == new).cast("int") - (j == old).cast("int"))
+        gone = count(state["counts"], old) + F.when((old["slot"] == new["slot"]) & (old["unit"] == new["unit"]), 1).otherwise(0)
+        s = F.when(old["unit"] > 0, s - F.get(term, gone) + F.get(term, gone - 1)).otherwise(s)
+        share = lambda x, j: F.when(j == x["slot"], x["unit"]).otherwise(F.lit(0).cast("long"))
+        counts = F.transform(state["counts"], lambda c, j: c + share(new, j) - share(old, j))
         bits = F.when(i >= WINDOW - 1, F.lit(math.log2(WINDOW)) - s / WINDOW).otherwise(F.lit(0.0))
         hit = (i >= WINDOW - 1) & (bits >= threshold)
         at = i - (WINDOW - 1)
@@ -72,7 +81,7 @@ def window_scan(token: Column, threshold: Column) -> Column:
             F.when(hit, at).otherwise(state["last"]).alias("last"), F.greatest(state["best"], bits).alias("best"),
         )
 
-    late = F.concat(F.array_repeat(F.lit(-1), WINDOW), codes)
+    late = F.concat(F.array_repeat(none, WINDOW), codes)
     pairs = F.zip_with(codes, F.slice(late, F.lit(1), F.size(codes)), lambda n, o: F.struct(n.alias("new"), o.alias("old")))
     return F.aggregate(pairs, zero, step, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["best"].alias("best")))
 
