@@ -156,6 +156,16 @@ def test_pii(make):
     assert pii_labelers.pii_spans(make([(1, None, None)])).first()["base"] == []
 
 
+def test_iban_checksums(make):
+    """A failed checksum is no account number, whatever form and words say; words that follow a passing one do not belong to it."""
+    good = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "BE68 5390 0754 7034", "NL91 ABNA 0417 1643 00", "FR14 2004 1010 0505 0001 3M02 606"]
+    bad = ["NL00 ABNA 0417 1643 00", "DE89370400440532013001", "BE68 5390 0754 7035"]
+    rows = [(i, f"iban {x} NEXT WORD", None) for i, x in enumerate([*good, *bad] * 5)]
+    got = {r["doc_id"]: r["added"] for r in pii_labelers.pii_spans(make(rows)).collect()}
+    for i, (x, _) in enumerate(zip([*good, *bad] * 5, rows, strict=True)):
+        assert [(a["kind"], a["text"], a["start"]) for a in got[i]] == ([("iban", x, 5)] if x in good else []), x
+
+
 def test_pii_model_finds_reliable_labelers(spark):
     """Votes drawn with known reliabilities: EM tells the good labeler from the bad one."""
     rnd = random.Random(6)

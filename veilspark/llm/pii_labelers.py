@@ -2,7 +2,8 @@
 
 1. Candidate spans: four base kinds (e-mail, ip, card, phone) and three added ones (iban, ssn, phone_local).
 2. Labelers vote 1, -1 or 0 (abstain) on each candidate: a strict regex, a gazetteer (top-level domains, issuer ranges,
-   calling codes, ...), words of the context before it, and its neighbouring characters.
+   calling codes, ...), words of the context before it, its neighbouring characters, and a checksum (mod 97 of an iban; abstains on the other
+   kinds, whose checks are part of the base pattern or do not exist).  A failed checksum is certain, so its probability is 0 whatever the others say.
 3. Expectation-maximisation estimates each labeler's reliability and each kind's prior from the counts of
    vote patterns.  The table of patterns is bounded (kinds x 3**labelers x feature values), whatever the corpus holds; EM is a
    fold over it inside one row.
@@ -12,7 +13,7 @@
 Base spans stay whatever the model says; they carry its probability as `score`.  Candidates are computed once and kept, without
 the texts, in the shared folder.
 
-Defined results: null text is empty; an empty table, or one without candidates, gives no added spans; rows with repeated ids are
+Defined results: null text is empty; an empty table, or one without candidates, gives no added spans; an iban match that fails loses words at its end until it passes (capital words may follow an iban), and else stays whole; rows with repeated ids are
 separate documents; failing base matches are dropped and not retried; columns named in `keep` pass through.
 """
 
@@ -68,7 +69,9 @@ WORDS_FOR = {
     "phone_local": r"phone|call|tel|mobile|fax|reach|ring|text|contact",
 }
 WORDS_AGAINST = r"version|isbn|release|section|figure|order|invoice|serial|build"
-N_LABELERS = 4
+N_LABELERS = 5
+#: Index of the checksum in the votes.
+CHECKSUM = 4
 EM_ROUNDS = 25
 
 _CAND = "struct<kind:string,start:int,end:int,text:string,votes:array<int>,feats:array<string>>"
@@ -93,10 +96,27 @@ def candidates(text: Column) -> Column:
         of("card", F.filter(spans(text, CARD), lambda x: n(x).between(16, 19) & F.call_function("luhn_check", digits(x["m"])))),
         of("phone", F.filter(has("+", PHONE), lambda x: n(x).between(8, 15))),
     )
-    more = F.concat(of("iban", spans(text, IBAN)), of("ssn", has("-", SSN)), of("phone_local", spans(text, LOCAL)))
+    more = F.concat(of("iban", F.transform(spans(text, IBAN), _passing_part)), of("ssn", has("-", SSN)), of("phone_local", spans(text, LOCAL)))
     return F.struct(base.alias("base"), more.alias("more"))
 
 
+def passes_97(iban: Column) -> Column:
+    """The number that an account number's characters spell, country and check digits last, leaves 1 when divided by 97."""
+    plain = F.replace(iban, F.lit(" "), F.lit(""))
+    turned = F.split(F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4)), "")
+    value = lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+    return F.aggregate(F.filter(turned, lambda c: c != ""), F.lit(0), lambda a, c: (a * F.when(value(c) < 10, 10).otherwise(100) + value(c)) % 97) == 1
+
+
+def _passing_part(x: Column) -> Column:
+    """The span up to the last word with which it passes, of at least 15 characters; the whole span where there is none."""
+    words = F.split(x["m"], " ")
+    parts = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
+    good = F.filter(parts, lambda p: (F.length(F.replace(p, F.lit(" "), F.lit(""))) >= 15) & passes_97(p))
+    part = F.coalesce(F.get(good, F.size(good) - 1), x["m"])
+    return F.struct(x["start"].alias("start"), (x["start"] + F.length(part)).alias("end"), part.alias("m"))
+
+
 def labelled(text: Column, cand: Column) -> Column:
     """`cand` with the labelers' votes and the classifier's features."""
 
@@ -106,15 +126,16 @@ def labelled(text: Column, cand: Column) -> Column:
         known = F.when(_chosen(x["kind"], GAZETTEER, x["text"]), 1).otherwise(-1)
         context = F.when(left.rlike(WORDS_AGAINST), -1).when(_chosen(x["kind"], WORDS_FOR, left), 1).otherwise(0)
         free = F.when(left.rlike(r"[\p{L}\p{N}_]$") | right.rlike(r"^[\p{L}\p{N}_]"), -1).otherwise(1)
+        check = F.when(x["kind"] == "iban", F.when(passes_97(x["text"]), 1).otherwise(-1)).otherwise(0)
         size = x["end"] - x["start"]
         share = F.length(F.regexp_replace(x["text"], "[^0-9]", "")) / size
         feats = F.array(
             F.concat(F.lit("k:"), x["kind"]), F.concat(F.lit("n:"), F.least(F.floor(size / 6), F.lit(8)).cast("string")),
             F.concat(F.lit("d:"), F.floor(share * 4).cast("string")), F.concat(F.lit("w:"), context.cast("string")),
             F.concat(F.lit("b:"), F.when(left == "", "start").when(left.rlike(r"[:=#]\s*$"), "mark").when(left.rlike(r"\s$"), "space").otherwise("other")),
-            F.concat(F.lit("s:"), x["kind"], strict.cast("string")),
+            F.concat(F.lit("s:"), x["kind"], strict.cast("string")), F.concat(F.lit("c:"), check.cast("string")),
         )
-        return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.array(strict, known, context, free).alias("votes"), feats.alias("feats"))
+        return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.array(strict, known, context, free, check).alias("votes"), feats.alias("feats"))
 
     return F.transform(cand, one).cast(f"array<{_CAND}>")
 
@@ -125,7 +146,7 @@ def _posterior(p: Column, state: Column) -> Column:
         return F.aggregate(terms, F.log(prior), lambda a, b: a + b)
 
     prior = F.get(state["prior"], p["k"])
-    return 1 / (1 + F.exp(side(state["no"], 1 - prior) - side(state["yes"], prior)))
+    return F.when(F.get(p["votes"], F.lit(CHECKSUM)) < 0, F.lit(0.0)).otherwise(1 / (1 + F.exp(side(state["no"], 1 - prior) - side(state["yes"], prior))))
 
 
 def _sum(rows: Column, value) -> Column:
@@ -184,7 +205,7 @@ def scored(cand: Column, weights: dict[str, float]) -> Column:
     table = F.create_map(*[F.lit(x) for f, w in sorted(weights.items()) for x in (f, float(w))])
     get = lambda f: F.coalesce(F.try_element_at(table, f), F.lit(0.0))
     z = lambda x: F.aggregate(x["feats"], F.lit(float(weights["bias"])), lambda a, f: a + get(f))
-    return F.transform(cand, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), (1 / (1 + F.exp(-z(x)))).alias("score")))
+    return F.transform(cand, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.when(F.get(x["votes"], F.lit(CHECKSUM)) < 0, F.lit(0.0)).otherwise(1 / (1 + F.exp(-z(x)))).alias("score")))
 
 
 def pii_spans(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), least: float = 0.5) -> DataFrame:
