@@ -134,7 +134,7 @@ def test_neighbours(spark):
     rows = [(i, [float(x) for x in v[i]], 0) for i in range(700)] + [(900, None, 0), (901, [], 0), (902, [0.0] * 24, 0), (903, [float("nan")] * 24, 0), (904, [None] * 24, 0), (950, [1.0, 2.0], 0), (951, [2.0, 4.1], 0), (952, [1e308] * 24, 0)]
     index = shared.kept(ann_bits.build_index(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")), "test")
     found = {}
-    for r in ann_bits.nearest(index, F.col("vec_id") % 50 == 0, block=128, query_block=4).collect():
+    for r in ann_bits.nearest(index, F.col("vec_id") % 50 == 0, block_bytes=4 * 24 * 8).collect():
         found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert set(found) == {*range(0, 700, 50), 950}
     assert [x[1] for x in sorted(found[950])] == [951]
@@ -149,3 +149,19 @@ def test_neighbours(spark):
         assert [x[0] for x in sorted(found[q])] == [1, 2, 3, 4, 5] and all(abs(scores[x[1]] - x[2]) < 1e-9 for x in found[q])
     assert hits / total >= 0.95
     assert [x[1] for x in sorted(found[50])][:2] == [10, 20]  # a tie: the smaller id first
+
+
+def test_estimates_by_common_bits():
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((300, 20))
+    turn = ann_bits.rotation(20 * 4)
+    bits, correction, turned = ann_bits.codes(v, 4, turn)
+    words = ann_bits._words(bits)
+    ones = np.bitwise_count(words).sum(axis=0, dtype=np.int32)
+    assert words.shape == (2, 300) and ones.tolist() == np.unpackbits(bits, axis=1).sum(axis=1).tolist()
+    signs = (np.unpackbits(bits, axis=1).astype(float) * 2 - 1) / np.sqrt(80)
+    for q in turned[:20]:
+        inner, rounding = ann_bits.estimates(q, words, ones)
+        assert np.abs(inner - signs @ q).max() < 5 * rounding < 0.2
+        within = np.abs(inner / correction - turned @ q) <= 3 * (np.sqrt((1 - correction**2) / 79) + rounding) / correction
+        assert within.mean() > 0.99

@@ -5,10 +5,13 @@ orthogonal matrix; the signs of the result, packed, are its code.  With x the co
 rotated vector, the correction scalar is <x, o>.
 
 Search: for a query q, <x, q> / <x, o> estimates <o, q>, and with high probability is off by at most
-`eps` * sqrt((1 - <x, o>^2) / <x, o>^2 / (D - 1)).  In each block of the index the k-th largest lower bound is a floor;
+`eps` * sqrt((1 - <x, o>^2) / <x, o>^2 / (D - 1)).  The rotated query is rounded to `LEVEL_BITS` bits a component, whose bit planes are packed as the
+codes are, so that <x, q> is counts of common bits (and, popcount) on words of 64; what rounding leaves widens the bound.
+In each block of the index the k-th largest lower bound is a floor;
 vectors whose upper bound is below it are dropped, the others are reranked on the original vectors in double precision.  Every row is
-indexed; queries and index meet in blocks of bounded size, so that a block pair is one task's work, and a
-query's best k of each block are merged by a window.
+indexed; queries and index meet in blocks of about `BLOCK_BYTES` of vectors on either side, so that a block pair is one task's work, and a
+query's best k of each block are merged by a window.  Vectors travel in the precision they are given in.  An index row is shipped once for each
+block of queries: bytes grow with rows times queries, divided by the rows of a block.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; only vectors with as many
 dimensions meet; a query never finds its own row, but finds copies of it under other ids; rows with a repeated vec_id are
@@ -29,6 +32,10 @@ from pyspark.sql import functions as F
 from veilspark.llm import shared
 
 SEED = 7
+#: Bits of a component of a rotated query.
+LEVEL_BITS = 4
+#: Vectors of one side of a block pair, in doubles.
+BLOCK_BYTES = 8 << 20
 INDEX = "vec_id long, dim int, vector binary, code binary, correction double"
 FOUND = "query_id long, vec_id long, score double"
 
@@ -47,9 +54,33 @@ def codes(vectors: np.ndarray, spread: int, turn: np.ndarray) -> tuple[np.ndarra
     return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(dim * spread), turned
 
 
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Packed bytes as words of 64 bits, one column for each row of `bits`; zeros fill the last word."""
+    padded = np.zeros((len(bits), -(-bits.shape[1] // 8) * 8), dtype=np.uint8)
+    padded[:, : bits.shape[1]] = bits
+    return np.ascontiguousarray(padded.view(np.uint64).T)
+
+
+def estimates(turned: np.ndarray, words: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, float]:
+    """(<x, q> of each code x with one rotated query, one deviation of what rounding the query leaves)."""
+    size, top = len(turned), (1 << LEVEL_BITS) - 1
+    least = turned.min()
+    step = max((turned.max() - least) / top, np.finfo(float).tiny)
+    level = np.clip(np.rint((turned - least) / step), 0, top).astype(np.uint8)
+    planes = _words(np.packbits((level[None, :] >> np.arange(LEVEL_BITS, dtype=np.uint8)[:, None]) & 1, axis=1))
+    common = np.zeros(words.shape[1], dtype=np.int32)
+    for plane in range(LEVEL_BITS):
+        common += np.bitwise_count(words & planes[:, plane, None]).sum(axis=0, dtype=np.int32) << plane
+    inner = least * (2 * ones - size) + step * (2 * common - int(level.sum(dtype=np.int64)))
+    left = turned - (least + step * level)
+    return inner / np.sqrt(size), float(np.sqrt(left @ left / size))
+
+
 def build_index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", spread: int = 4) -> DataFrame:
-    """INDEX rows of the usable vectors."""
-    usable = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
+    """INDEX rows of the usable vectors, with a number each (`row`); `vector` holds floats where `embedding` does, else doubles.  To be written
+    (`shared.kept`) before it is searched, so that the numbers stay."""
+    single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
+    usable = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>" if single else "array<double>").alias("v"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = usable.where(F.col("vec_id").isNotNull() & F.forall("v", finite) & F.exists("v", lambda x: x != 0))
 
@@ -62,14 +93,20 @@ def build_index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "em
                 at = np.flatnonzero(sizes == dim)
                 v = rows.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
                 turn = turns.setdefault(int(dim), rotation(int(dim) * spread))
-                bits, correction, _ = codes(v, spread, turn)
+                bits, correction, _ = codes(v.astype(np.float64), spread, turn)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[at], pa.int64()), pa.array(np.full(len(at), dim), pa.int32()), pa.array([x.tobytes() for x in v], pa.binary()), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(correction)],
                     ["vec_id", "dim", "vector", "code", "correction"],
                 )
 
     shared.ship(vectors.sparkSession)
-    return usable.mapInArrow(build, INDEX)
+    return usable.mapInArrow(build, INDEX).withColumn("row", F.monotonically_increasing_id())  # an id may be many rows; blocks go by row
+
+
+def _vectors(column: pd.Series, dim: int) -> np.ndarray:
+    """Rows in double precision, each times a power of two: cosines stay as they are, and squares stay finite."""
+    raw = np.frombuffer(b"".join(column), dtype=np.float32 if len(column.iloc[0]) == 4 * dim else np.float64).reshape(-1, dim).astype(np.float64)
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])
 
 
 def search_block(queries: pd.DataFrame, index: pd.DataFrame, k: int, spread: int, eps: float) -> pd.DataFrame:
@@ -79,36 +116,33 @@ def search_block(queries: pd.DataFrame, index: pd.DataFrame, k: int, spread: int
         return none
     dim = int(index["dim"].iloc[0])
     size = dim * spread
-    base = np.frombuffer(b"".join(index["vector"]), dtype=np.float64).reshape(-1, dim)
+    base, asked = _vectors(index["vector"], dim), _vectors(queries["vector"], dim)
     ids, correction = index["vec_id"].to_numpy(), index["correction"].to_numpy()
-    bits = np.frombuffer(b"".join(index["code"]), dtype=np.uint8).reshape(len(index), -1)
-    signs = (np.unpackbits(bits, axis=1, count=size).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(size))
-    slack = eps * np.sqrt(np.maximum(0, 1 - correction**2) / correction**2 / max(1, size - 1))
-    norms = np.sqrt(np.einsum("ij,ij->i", base, base))
-    asked = np.frombuffer(b"".join(queries["vector"]), dtype=np.float64).reshape(-1, dim)
-    turned = codes(asked, spread, rotation(size))[2].astype(np.float32)
-    out = []
-    for at in range(0, len(asked), 64):
-        estimate = (turned[at : at + 64] @ signs.T) / correction
-        for j, row in enumerate(estimate):
-            q, own = asked[at + j], queries["vec_id"].iloc[at + j]
-            other = np.flatnonzero(ids != own)
-            if len(other) > k:
-                floor = np.partition(row[other] - slack[other], len(other) - k)[len(other) - k]
-                other = other[row[other] + slack[other] >= floor]
-            score = (base[other] @ q) / (norms[other] * np.sqrt(q @ q))
-            best = np.lexsort((ids[other], -score))[:k]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[other][best], "score": score[best]}))
-    return pd.concat(out, ignore_index=True) if out else none
-
-
-def nearest(index: DataFrame, queries: Column, k: int = 5, spread: int = 4, eps: float = 3.0, block: int = 8192, query_block: int = 1024) -> DataFrame:
+    words = _words(np.frombuffer(b"".join(index["code"]), dtype=np.uint8).reshape(len(index), -1))
+    ones = np.bitwise_count(words).sum(axis=0, dtype=np.int32)
+    spare = np.sqrt(np.maximum(0, 1 - correction**2) / max(1, size - 1))
+    norms = np.sqrt((base * base).sum(axis=1))
+    turn, out = rotation(size), []
+    for own, q in zip(queries["vec_id"].to_numpy(), asked, strict=True):
+        length = np.sqrt((q * q).sum())
+        inner, rounding = estimates((q / length) @ turn[:dim], words, ones)
+        estimate, slack = inner / correction, eps * (spare + rounding) / correction
+        lower = np.where(ids == own, -np.inf, estimate - slack)
+        floor = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) > k else -np.inf
+        other = np.flatnonzero((estimate + slack >= floor) & (ids != own))
+        score = (base[other] * q).sum(axis=1) / (norms[other] * length)  # row by row: copies tie wherever they are
+        best = np.lexsort((ids[other], -score))[:k]
+        out.append((np.full(len(best), own), ids[other][best], score[best]))
+    return pd.DataFrame(dict(zip(none.columns, map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+
+def nearest(index: DataFrame, queries: Column, k: int = 5, spread: int = 4, eps: float = 3.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows of `index` for which `queries` holds."""
-    asked = index.where(queries)
-    blocks = lambda n, size: max(1, -(-n // size))
-    n_index, n_asked = blocks(index.count(), block), blocks(asked.count(), query_block)
-    part = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n)).cast("int")
-    left = asked.select("vec_id", "dim", "vector", part(n_asked, "q").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_index - 1))).alias("ib"))
+    n, n_asked, dim = index.agg(F.count(F.lit(1)), F.count_if(queries), F.max("dim")).first()
+    blocks = lambda rows: max(1, -(-rows * 8 * (dim or 1) // block_bytes))
+    n_index, n_asked = blocks(n), blocks(n_asked)
+    part = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "row"), F.lit(n)).cast("int")
+    left = index.where(queries).select("vec_id", "dim", "vector", part(n_asked, "q").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_index - 1))).alias("ib"))
     right = index.select("vec_id", "dim", "vector", "code", "correction", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).alias("qb"), part(n_index, "i").alias("ib"))
     keys = ["dim", "qb", "ib"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: search_block(a, b, k, spread, eps), FOUND)
