@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.llm import line_dedup, pii_labelers, secret_scan
+from veilspark.llm import line_dedup, pii_labelers, secret_scan, shared
 from veilspark.llm.spans import joined
 
 STRIP = " \t\n\x0b\x0c\r"
@@ -26,8 +26,9 @@ def brute_lines(texts, least):
     return [(len(lines), "\n".join(kept := [x for x in lines if not key(x) or counts[key(x)] < least]), len(lines) - len(kept)) for lines in docs]
 
 
-@pytest.mark.parametrize("parts", [1, 3])
-def test_line_dedup(spark, make, parts):
+@pytest.mark.parametrize("parts, small", [(1, 200_000), (3, 200_000), (3, 1)])
+def test_line_dedup(spark, make, monkeypatch, parts, small):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", small)
     rnd = random.Random(1)
     lines = ["Alpha one", "  alpha ONE\t", "É accent", "é accent", "", "  ", "beta\r", "gamma", "x" * 5000, "İstanbul"]
     texts = [None, "", "\n", "\n\n", *["\n".join(rnd.choice([*lines, f"unique {i} {k}"]) for k in range(rnd.randrange(1, 9))) for i in range(60)]]
@@ -36,6 +37,7 @@ def test_line_dedup(spark, make, parts):
     batches = rows.randomSplit([1.0] * parts, 3) if parts > 1 else [rows]
     frequent = line_dedup.frequent_lines(batches, min_docs=5, fanout=2)
     got = line_dedup.drop_lines(rows, frequent)
+    assert ("_salt" in got._jdf.queryExecution().toString()) == (small == 1)
     assert got.columns[: len(rows.columns)] == rows.columns
     out = sorted((r["text"] or "", r["n_lines"], r["kept_text"], r["n_dropped"]) for r in got.collect())
     assert out == sorted((t or "", n, kept, gone) for t, (n, kept, gone) in zip(texts, brute_lines(texts, 5), strict=True))

@@ -140,14 +140,14 @@ MADE = ("kept_text", "n_lines", "n_dropped")
 def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", min_length: int = 1, names: Sequence[str] = MADE) -> DataFrame:
     """`docs` with `kept_text`, `n_lines`, `n_dropped` (or `names`, which replace columns of the input): every line whose key is in `frequent` goes.
 
-    Only (row key, key) pairs meet the frequent keys; the keys to drop are then gathered by document
-    and joined to the texts.
+    Only (row key, key) pairs meet the frequent keys, those of one line dealt over parts where they are too many to broadcast;
+    the keys to drop are then gathered by document and joined to the texts.
     """
     plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if kind in ("string", "bigint", "int")]  # copies of a text spread over tasks
     row = [F.xxhash64(F.lit("text"), F.col(text)).alias("_ld_t"), F.xxhash64(*plain).alias("_ld_r")]
     keys = F.array_distinct(F.filter(key_lines(F.col(text)), lambda k: F.length(k) >= min_length))
     hits = docs.select(*row, F.explode(keys).alias("_ld_k")).select("_ld_t", "_ld_r", "_ld_k", *hashes(F.col("_ld_k")))
-    hits = hits.join(frequent, ["h1", "h2"], "left_semi").groupBy("_ld_t", "_ld_r").agg(F.collect_set("_ld_k").alias("_ld_bad"))
+    hits = shared.meet(hits, frequent, ["h1", "h2"], ["_ld_r"], "left_semi").groupBy("_ld_t", "_ld_r").agg(F.collect_set("_ld_k").alias("_ld_bad"))
     joined = docs.select("*", *row).join(hits, ["_ld_t", "_ld_r"], "left")
     lines = joined.withColumn("_ld_lines", lines_of(F.col(text)))
     bad = lambda line: F.array_contains("_ld_bad", key_of(shared.lower_ascii(line)))

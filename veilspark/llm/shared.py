@@ -121,6 +121,22 @@ def lower_ascii(col):
 BROADCAST_ROWS = 200_000
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint where a count proves that it has `rows` rows at most; else the planner shuffles both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None, most: int = 32 << 20) -> DataFrame:
+    """`df` with a broadcast hint where a count proves that it has `rows` rows at most and, where rows are wide, that the sum of `size`
+    is `most` at most; else the planner shuffles both sides."""
+    n, total = df.select((F.lit(0) if size is None else size).alias("s")).limit(rows + 1).agg(F.count(F.lit(1)), F.sum("s")).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= most else df
+
+
+#: Parts into which the rows of one key are dealt where the other side of a join is too large to broadcast.
+SALTS = 32
+
+
+def meet(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """`left` joined to `right` on `keys`, so that a key which many rows of `left` hold is no single task's work: `right` is broadcast where
+    a count proves it small; else its rows are copied to `SALTS` parts, and those of `left` are dealt over the parts by a hash of the columns `by`."""
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), keys, how)
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), *by), F.lit(SALTS)).cast("int"))
+    copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
