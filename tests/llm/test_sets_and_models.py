@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.llm import decontaminate, jaccard_join, langid, sentencepiece_viterbi
+from veilspark.llm import decontaminate, jaccard_join, langid, sentencepiece_viterbi, shared
 from veilspark.llm.shingle_kernel import runs, shingle_sets
 from veilspark.llm.voronoi_kernel import Region
 
@@ -164,7 +164,9 @@ def test_decontaminate_decides_by_row(spark, make):
     assert decontaminate.decontaminate(make(rows), bench.limit(0)).count() == len(rows)
 
 
-def test_contained(spark, make):
+@pytest.mark.parametrize("small", [200_000, 1])
+def test_contained(spark, make, monkeypatch, small):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", small)
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(3))
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([0, 1, 3, 5, 8, 12, 20, 40, 40])] + [(20, None)]

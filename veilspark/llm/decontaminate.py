@@ -85,15 +85,15 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, do
             items.select("item_id").limit(0), F.lit(False)
         ).select("doc_id", "item_id", F.lit(0).cast("long").alias("n_item_shingles"), F.lit(0).cast("long").alias("n_shared"), F.lit(0.0).alias("containment"))
 
-    keys = shared.if_small(shared.kept(sketch.select("item_id", "width", "h").distinct(), "sketches"))
-    pairs = shared.kept(probes.join(keys, ["width", "h"]).select("doc_id", "item_id").distinct(), "candidates")
+    keys = shared.kept(sketch.select("item_id", "width", "h").distinct(), "sketches")
+    pairs = shared.kept(shared.meet(probes, keys, ["width", "h"], ["doc_id"]).select("doc_id", "item_id").distinct(), "candidates")
 
     # Verification: texts of candidate documents only; a document's shingles are made once for all its items.
     asked = pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("_items"), F.max(F.col("item_id").isNull()).alias("_null"))
     asked = shared.if_small(shared.kept(asked, "asked"))
     texts = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")).join(asked, F.col("_d").eqNullSafe(F.col("doc_id"))).withColumn("_w", words_of(F.col("_t")))
     each = texts.select("doc_id", "_w", F.explode(F.when(F.col("_null"), F.array_append("_items", F.lit(None))).otherwise(F.col("_items"))).alias("_i"))
-    known = shared.if_small(items.select("item_id", "width", "n", "need", "texts"), rows=10_000)
+    known = shared.if_small(items.select("item_id", "width", "n", "need", "texts"), rows=10_000, size=F.aggregate("texts", F.lit(0), lambda n, t: n + F.octet_length(t)))
     each = each.join(known, F.col("_i").eqNullSafe(F.col("item_id")))
     made = None
     for width in sorted({b["width"] for b in bounds}):
