@@ -59,6 +59,20 @@ def test_one_file_and_derived_tables_make_several_batches(spark, make, monkeypat
         assert sum(added) == sum(len({key(x) for x in (t or "").split("\n") if key(x)}) for t in texts)
 
 
+def test_runs_of_whole_batches_are_summed(spark, make):
+    """Each run holds the key a few times, and only their sum reaches the limit."""
+    store = line_dedup.LineRuns(spark, min_docs=6, fanout=3, buckets=4)
+    for batch in range(5):
+        rows = [(i, f"in all {k}\nown {batch} {i}", None) for i, k in enumerate([0, 1, 2, 3] * (2 if batch == 4 else 1))]
+        store.add(line_dedup.document_keys(make(rows), "text", 1))
+        for name in store.runs():
+            run = spark.table(name)
+            assert run.count() == run.select("h1", "h2").distinct().count()
+    keys = spark.createDataFrame([(f"in all {k}",) for k in range(4)], "k string").select(*line_dedup.hashes(F.col("k")))
+    assert sorted(store.frequent().collect()) == sorted(keys.collect())
+    store.close()
+
+
 def pii(text):
     out, text = [], text or ""
     out += [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
