@@ -93,6 +93,25 @@ def test_jaccard_components(make, monkeypatch, chunk, retire):
     assert got == {ids[i]: (len(sets[i]), ids[root[i]]) for i in range(len(ids))}
 
 
+def test_groups_around_common_passages_are_split(make, monkeypatch):
+    """Texts of their own words around a few passages of a pool are one group over the corpus, but link with their near copies only."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    pool = [[word() for _ in range(20)] for _ in range(30)]
+    texts = []
+    for _ in range(150):
+        w = sum(([*rnd.choice(pool), *(word() for _ in range(rnd.randrange(8, 16)))] for _ in range(4)), [])
+        texts += [" ".join(w), " ".join([*w[:-1], word()])][: 1 + (rnd.random() < 0.3)]
+
+    def large_regions(rows, percent):
+        raise AssertionError("a group was not split")
+
+    monkeypatch.setattr(jaccard_join, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(jaccard_join, "large_regions", large_regions)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(make([(i, t, None) for i, t in enumerate(texts)]).repartition(3)).collect()}
+    assert got == dict(enumerate(components([shingles(t) for t in texts])))
+
+
 @pytest.mark.parametrize("block", [1000, 7])
 def test_linked_pairs_are_all_links(make, monkeypatch, block):
     """Every link, also between sets that others connect already; the second case deals groups into blocks."""

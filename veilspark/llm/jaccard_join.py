@@ -9,7 +9,8 @@ Two levels of Voronoi regions of the Jaccard metric:
    every window would hold everything.)  The order puts retired shingles last: those counted in `RETIRE` or more distinct
    sets, so that a passage in a third of all documents does not make a region.
 2. A region is a star of candidate edges, never all pairs; connected stars form closed groups.  Each group of distinct sets is joined
-   exactly by recursive Voronoi regions with documents as pivots: in one task (`voronoi_kernel`) up to `CHUNK_BYTES`, and beyond that by shuffled rounds (`large_regions`): pivots go to
+   exactly by recursive Voronoi regions with documents as pivots: in one task (`voronoi_kernel`) up to `CHUNK_BYTES`.  Larger groups are first split by level 1
+   over the group itself (`split`), and what stays beyond that is joined by shuffled rounds (`large_regions`): pivots go to
    all chunks of a region, every set's distances to them are measured, what is not connected to the main component asks on, and a region's
    asking sets meet the sets of its triangle windows in the next round.
 
@@ -145,22 +146,28 @@ def edges(docs: DataFrame, retired: np.ndarray, width: int) -> DataFrame:
                 columns = [np.concatenate(regions).view(np.int64), np.concatenate(classes), np.concatenate(sizes), np.concatenate(hot)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "c", "n", "hot"])
 
-    def met(rows: DataFrame) -> DataFrame:
-        """Rows of regions with two classes or more.  A retired shingle's region has many; it needs no meeting place."""
-        region = W.partitionBy("r")
-        seen = rows.withColumn("r", F.when(F.col("hot"), F.xxhash64("g", "c")).otherwise(F.col("g")))
-        seen = seen.withColumn("first", F.min("c").over(region)).withColumn("last", F.max("c").over(region))
-        return seen.where(F.col("hot") | (F.col("first") < F.col("last"))).drop("last", "r")
-
     rows = docs.select("doc_id", "text").mapInArrow(run, "g long, c long, n int, hot boolean")
-    every = shared.kept(met(rows).drop("first"), "regions")
+    every = shared.kept(_met(rows).drop("first"), "regions")
     strong = every.groupBy("c").agg(F.count(F.lit(1)).alias("s"), F.max("n").alias("n")).where(F.col("s") >= _need(F.col("n"))).select("c")
     strong = shared.kept(strong, "strong")
     both = shared.kept(every.join(shared.if_small(strong), "c", "left_semi"), "strongregions")  # read three times
     shared.done(every, strong)
+    return _stars(both)
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Rows of regions with two classes or more.  A retired shingle's region has many; it needs no meeting place."""
+    region = W.partitionBy("r")
+    seen = rows.withColumn("r", F.when(F.col("hot"), F.xxhash64("g", "c")).otherwise(F.col("g")))
+    seen = seen.withColumn("first", F.min("c").over(region)).withColumn("last", F.max("c").over(region))
+    return seen.where(F.col("hot") | (F.col("first") < F.col("last"))).drop("last", "r")
+
+
+def _stars(both: DataFrame) -> DataFrame:
+    """The edges of `edges` from its rows (g, c, n, hot), a kept table, which is deleted."""
     hot = both.where("hot")
     centres = shared.kept(hot.groupBy("g").agg(F.min("c").alias("first")), "centres")  # combined before the shuffle
-    star = met(both.where("NOT hot")).unionByName(hot.join(shared.if_small(centres), "g")).select("c", "n", F.col("first").alias("o"))
+    star = _met(both.where("NOT hot")).unionByName(hot.join(shared.if_small(centres), "g")).select("c", "n", F.col("first").alias("o"))
     star = shared.kept(star.groupBy("c", "n", "o").agg(F.count(F.lit(1)).alias("w")), "stars")
     shared.done(both, centres)
     safe = (F.col("o") == F.col("c")) | (F.col("w") * 2 >= _need(F.col("n")))
@@ -348,20 +355,68 @@ def _edges_of(links: list[DataFrame]) -> DataFrame:
 
 
 def class_links(members: DataFrame, percent: int) -> DataFrame:
-    """LINK rows that connect exactly the linked sets of `members` (comp, d1, d2, shingles); comps are closed."""
-    spark = members.sparkSession
-    sizes = members.groupBy("comp").agg(F.sum(F.octet_length("shingles")).alias("bytes"), F.count(F.lit(1)).alias("classes"))
-    sizes = shared.kept(sizes.where("classes > 1"), "groupsizes")
-    total = sizes.where(F.col("bytes") <= CHUNK_BYTES).agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // (CHUNK_BYTES // 2)))
-    small = members.join(shared.if_small(sizes.where(F.col("bytes") <= CHUNK_BYTES).select("comp")), "comp")
-    small = small.withColumn("part", F.pmod(F.xxhash64("comp"), F.lit(buckets)))
-    links = shared.kept(small.groupBy("part").applyInPandas(lambda rows: _join_parts(rows, percent), LINK), "links")
-    big = sizes.where(F.col("bytes") > CHUNK_BYTES).select("comp")
-    if big.limit(1).count():
-        links = links.unionByName(large_regions(members.join(shared.if_small(big), "comp"), percent))
-    shared.done(sizes)
-    return links
+    """LINK rows that connect exactly the linked sets of `members` (comp, d1, d2, shingles); comps are closed.
+
+    Groups that are too large for a task are split by their own counts, again while that halves their bytes; what is left is joined in shuffled rounds.
+    """
+    spark, found, before, own = members.sparkSession, [], None, []
+    while True:
+        sizes = members.groupBy("comp").agg(F.sum(F.octet_length("shingles")).alias("bytes"), F.count(F.lit(1)).alias("classes"))
+        sizes = shared.kept(sizes.where("classes > 1"), "groupsizes")
+        fits = F.col("bytes") <= CHUNK_BYTES
+        total, over = sizes.agg(F.sum(F.when(fits, F.col("bytes"))), F.sum(F.when(~fits, F.col("bytes")))).first()
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total or 0) // (CHUNK_BYTES // 2)))
+        small = members.join(shared.if_small(sizes.where(fits).select("comp")), "comp")
+        small = small.withColumn("part", F.pmod(F.xxhash64("comp"), F.lit(buckets)))
+        found.append(shared.kept(small.groupBy("part").applyInPandas(lambda rows: _join_parts(rows, percent), LINK), "links"))
+        if not over:
+            break
+        big = members.join(shared.if_small(sizes.where(~fits).select("comp")), "comp")
+        if before is not None and over > before / 2:
+            found.append(large_regions(big, percent))
+            break
+        before, members = over, split(big)
+        shared.done(sizes, *own)
+        own = [members]
+    shared.done(sizes, *own)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def split(members: DataFrame) -> DataFrame:
+    """`members` (comp, d1, d2, shingles) by smaller closed groups; sets that can link with no other go.
+
+    The regions of `edges` once more, within each group and in the order of the group's own counts, rarest first.  Over the corpus only
+    retired shingles are known to be frequent, and sets of different texts that hold the same few passages or lines share the regions of all
+    others; such groups grow faster than the corpus.  In a group's own order these shingles come last, and few sets' first regions reach them.
+    A shingle counts by its group (`r`), shingles of a single set make no region, and work and bytes grow with the shingles of the groups; the
+    sets that hold a shingle meet in one task, 20 bytes each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.lean()
+        for batch in batches:
+            for comp, d, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                g = np.frombuffer(b, dtype=np.uint64)
+                r = mix64(g + mix64(np.array([comp], dtype=np.int64).view(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(np.full(len(r), d)), pa.array(np.full(len(r), len(r), dtype=np.int32))], ["g", "c", "n"])
+
+    rows = members.select("comp", "d1", "shingles").mapInArrow(run, "g long, c long, n int")
+    counted = rows.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("g"))).where("k > 1")  # the rows are shuffled once for that, not joined to their counts
+    common = counted.groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("k", "g"))).alias("s"))
+    regions = F.col("n") - _most(F.col("n")) + 1 + F.floor(F.col("n") / 12)
+    common = common.withColumn("left", (regions - (F.col("n") - F.size("s"))).cast("int")).where(F.col("left") >= _need(F.col("n")))
+    first = common.select("c", "n", F.explode(F.slice("s", 1, F.col("left"))).alias("x"))
+    both = shared.kept(first.select("x.g", "c", "n", (F.col("x.k") >= RETIRE).alias("hot")), "groupregions")
+    candidates = _stars(both)
+    label = components(candidates)
+    shared.done(candidates)
+    groups = label.select(F.col("node").alias("d1"), F.col("label").alias("comp"))
+    out = shared.kept(members.drop("comp").join(shared.if_small(groups), "d1").select("comp", "d1", "d2", "shingles"), "splitmembers")
+    shared.done(label)
+    return out
 
 
 def _pairs_of_blocks(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
