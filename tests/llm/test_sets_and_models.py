@@ -312,3 +312,21 @@ def test_pipeline(spark):
     want = {i for i in first if not any(len(g & own[i]) >= math.ceil(0.75 * len(g)) for g in grams)}
     assert set(out) == want  # every document of this table has letters and a clear language
     assert all(r["text"] == kept[i] and r["n_tokens"] == len(r["token_ids"]) for i, r in out.items())
+
+
+def test_pipeline_keeps_one_stage(spark, monkeypatch):
+    """When a stage's result is written, that of the stage before goes; only the last stage's input is left."""
+    import glob
+
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("tables absent")
+    there = lambda: set(glob.glob(f"{shared.shared_dir(spark).removeprefix('file:').replace('//', '/')}/veilspark-stage*"))
+    before = there()
+    passed = [("all", lambda spark, docs, sf_dir: docs)] * 4
+    monkeypatch.setattr(corpus_pipeline, "STAGES", passed)
+    out = corpus_pipeline.run(spark, sf)
+    assert [p.rsplit("/")[-1].split("-")[1] for p in there() - before] == ["stage2"]
+    assert out.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
