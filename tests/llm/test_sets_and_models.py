@@ -112,6 +112,35 @@ def test_groups_around_common_passages_are_split(make, monkeypatch):
     assert got == dict(enumerate(components([shingles(t) for t in texts])))
 
 
+def stages(spark):
+    """Rows that each stage so far wrote to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    listed = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(x := listed.apply(i)).stageId(): x.shuffleWriteRecords() for i in range(listed.size())}
+
+
+def test_blocks_of_a_group_that_nothing_splits_ship_it_in_waves(spark, monkeypatch):
+    """Every block meets every chunk, but no stage ships the group more than a few times, however many blocks there are."""
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, 80, replace=False)) for _ in range(80)]
+    sets += [np.unique(np.concatenate((s[:-4], rng.integers(0, 2**63, 4, dtype=np.uint64)))) for s in sets[:10]]  # sets and near copies
+    rows = [(1, *jaccard_join._digest(s), bytearray(s.tobytes())) for s in sets]
+    monkeypatch.setattr(jaccard_join, "CHUNK_BYTES", 8_000)
+    monkeypatch.setattr(jaccard_join, "WAVE_BYTES", 1, raising=False)
+
+    before = stages(spark)
+    links = jaccard_join.large_regions(spark.createDataFrame(rows, "comp long, d1 long, d2 long, shingles binary").repartition(3), 75).collect()
+    shipped = max(n for k, n in stages(spark).items() if k not in before)
+    at, root = {(r[1], r[2]): i for i, r in enumerate(rows)}, list(range(len(rows)))
+    for r in links:
+        a, b = (root[at[x]] for x in ((r["a1"], r["a2"]), (r["b1"], r["b2"])))
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    assert root == components([set(s.tolist()) for s in sets])
+    assert shipped < 6 * len(rows), shipped / len(rows)
+
+
 @pytest.mark.parametrize("block", [1000, 7])
 def test_linked_pairs_are_all_links(make, monkeypatch, block):
     """Every link, also between sets that others connect already; the second case deals groups into blocks."""
@@ -130,6 +159,26 @@ def test_linked_pairs_are_all_links(make, monkeypatch, block):
     assert len(want) > sum(root[a] != a for a in sets)
 
 
+def test_many_keys_do_not_shuffle_the_texts(spark, make, monkeypatch):
+    """Where the rows that meet their keys are too many to broadcast, only these are shuffled, and a few others."""
+    words = np.random.default_rng(5).integers(0, 10**9, (900, 12)).astype(str)
+    texts = [" ".join(w) for w in words]
+    rows = [(i, t, None) for i, t in enumerate(texts + texts[:40] + [" ".join([*w[:-1], "x"]) for w in words[40:60]])]
+    rows += [(None, None, None), (None, "", None), rows[7], rows[7], rows[300], rows[300]]
+    docs = make(rows).repartition(3).cache()
+    few = sorted(map(tuple, jaccard_join.keep_one(docs).collect()), key=str)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 1)
+    many = jaccard_join.keep_one(docs)
+    assert many.columns == docs.columns and sorted(map(tuple, many.collect()), key=str) == few and len(few) == 902
+    keys = shared.kept(spark.createDataFrame([(i, 0) for i in range(0, 2000, 100)], "k long, l long"), "keys")
+    wide = spark.range(2000).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("l"), F.lit("text").alias("t"))
+    before = stages(spark)
+    for how, want in (("inner", {*range(0, 2000, 100)}), ("left_semi", {*range(0, 2000, 100)}), ("left_anti", {i for i in range(2000) if i % 100})):
+        found = shared.among(wide, keys, ["k", "l"], how)
+        assert sorted(r["k"] for r in found.collect()) == sorted(want)
+    assert max(n for k, n in stages(spark).items() if k not in before) < 200
+
+
 def test_jaccard_edges_of_tables(make):
     assert jaccard_join.jaccard_components(make([(1, "x", None)]).limit(0)).count() == 0
     rows = [(1, "a b c d e f", None), (1, "a b c d e f", None), (None, "a b c d e f", None), (2, None, None), (3, "", None)]

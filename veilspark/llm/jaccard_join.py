@@ -25,7 +25,9 @@ are null; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +46,12 @@ WIDTH, PERCENT = 5, 75
 RETIRE, RETIRED_MOST = 48, 500_000
 #: Shingles are counted in runs of about so many; of a run, those of at least COUNT_LEAST sets are added up over the corpus.
 COUNT_RUN, COUNT_LEAST = 1_000_000, 4
+#: The regions of the corpus are made in so many passes over the texts.
+PASSES = 2
 #: Bytes of shingles that a task joins at once; pivots of a larger region; rounds of regions before asking sets are dealt into blocks.
 CHUNK_BYTES, CHUNK_PIVOTS, DEPTH = 16_000_000, 12, 3
+#: Bytes that blocks and regions ship at once where that is more than twice the regions; windows of a round hold at most so many times the groups' bytes.
+WAVE_BYTES, WINDOWS = 512_000_000, 4
 BLOCK = 1000
 
 SKETCH = "doc_id long, t1 long, t2 long, n long, d1 long, d2 long, g long, c long"
@@ -118,9 +124,11 @@ def edges(docs: DataFrame, retired: np.ndarray, width: int) -> DataFrame:
     in a set it links with, so the two share `_need` regions or more, and what shares fewer drops out.  Of the rest each region is a
     star around its smallest class.  Star edges with few regions are left out, unless the regions a class loses by that
     could hide a link (half of `_need`): if none of the regions of a linked pair keeps both, one of the two has lost that many.
+
+    Most regions have one class and go when the rows meet, so the rows are shuffled in `PASSES`, each with its share of the regions.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sets in _sets(batches, width):
             regions, classes, sizes, hot = [], [], [], []
@@ -138,20 +146,23 @@ def edges(docs: DataFrame, retired: np.ndarray, width: int) -> DataFrame:
                     s, late = np.concatenate((s[~late], s[late]))[:k], np.arange(k) >= (~late).sum()
                 else:
                     s, late = s[:k], np.zeros(k, dtype=bool)
+                own = mix64(s) % np.uint64(PASSES) == turn
+                s, late = s[own], late[own]
                 regions.append(s)
-                classes.append(np.full(k, d, dtype=np.int64))
-                sizes.append(np.full(k, n, dtype=np.int32))
+                classes.append(np.full(len(s), d, dtype=np.int64))
+                sizes.append(np.full(len(s), n, dtype=np.int32))
                 hot.append(late)
             if regions:
                 columns = [np.concatenate(regions).view(np.int64), np.concatenate(classes), np.concatenate(sizes), np.concatenate(hot)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "c", "n", "hot"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "g long, c long, n int, hot boolean")
-    every = shared.kept(_met(rows).drop("first"), "regions")
+    rows = [docs.select("doc_id", "text").mapInArrow(lambda batches, turn=turn: run(batches, turn), "g long, c long, n int, hot boolean") for turn in range(PASSES)]
+    met = [shared.kept(_met(part).drop("first"), "regions") for part in rows]
+    every = functools.reduce(DataFrame.unionByName, met)
     strong = every.groupBy("c").agg(F.count(F.lit(1)).alias("s"), F.max("n").alias("n")).where(F.col("s") >= _need(F.col("n"))).select("c")
     strong = shared.kept(strong, "strong")
     both = shared.kept(every.join(shared.if_small(strong), "c", "left_semi"), "strongregions")  # read three times
-    shared.done(every, strong)
+    shared.done(*met, strong)
     return _stars(both)
 
 
@@ -262,6 +273,16 @@ def _measured(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
 MEASURED = "comp long, region long, a1 long, a2 long, b1 long, b2 long, home int, near array<double>, bytes long, asks boolean"
 
 
+def _waves(sizes: DataFrame, half: float) -> list[tuple[int, int]]:
+    """(waves, wave) of the blocks that meet their whole regions: as many waves as keep what one ships at `WAVE_BYTES`, or at about
+    twice the regions where these are larger.  At most a wave for each block of the largest region."""
+    blocks, chunks = F.ceil(F.col("asking") / half), F.ceil(F.col("bytes") / half)
+    ships = F.sum(F.col("bytes") * blocks + F.col("asking") * chunks)
+    most, ships, total = sizes.where("flat").agg(F.max(blocks), ships, F.sum("bytes")).first()
+    waves = max(1, min(int(most or 0), math.ceil(int(ships or 0) / max(WAVE_BYTES, 2 * int(total or 0)))))
+    return [(waves, wave) for wave in range(waves)]
+
+
 def large_regions(rows: DataFrame, percent: int) -> DataFrame:
     """LINK rows that connect exactly the linked sets of groups that are too large for a task; `rows`: (comp, d1, d2, shingles).
 
@@ -275,23 +296,27 @@ def large_regions(rows: DataFrame, percent: int) -> DataFrame:
     t, half = 1 - percent / 100 + 1e-9, CHUNK_BYTES / 2
     node = F.xxhash64("d1", "d2")
     rows = shared.kept(rows.select("comp", F.col("comp").alias("region"), "d1", "d2", "shingles", F.lit(True).alias("asks"), node.alias("label"), F.lit(False).alias("stuck")), "large")
-    found, main = [], None
+    found, main, whole = [], None, 0  # whole: bytes of the groups
     for depth in range(DEPTH + 1):
         weight = F.octet_length("shingles")
         sizes = rows.groupBy("region").agg(F.sum(weight).alias("bytes"), F.sum(F.when(F.col("asks"), weight).otherwise(0)).alias("asking"), F.max("stuck").alias("stuck"))
         sizes = sizes.where("asking > 0").withColumn("flat", (F.col("asking") <= half) | F.col("stuck") | F.lit(depth == DEPTH))
         sizes = shared.kept(sizes.drop("stuck"), "regionsizes")
+        now = int(sizes.agg(F.sum("bytes")).first()[0] or 1)
+        whole = whole or now
         pick = lambda n: F.pmod(F.xxhash64(F.lit(depth), "d1", "d2"), n)  # noqa: B023, E731
         sized = rows.join(shared.if_small(sizes), "region").withColumn("chunks", F.ceil(F.col("bytes") / half))
         sized = sized.withColumn("blocks", F.ceil(F.col("asking") / half)).withColumn("chunk", pick(F.col("chunks")))
         spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         columns = ["region", "block", "chunk", "d1", "d2", "label", "shingles", "asked"]
 
-        flat = sized.where("flat")
-        asking = flat.where("asks").withColumn("block", pick(F.col("blocks"))).withColumn("chunk", spread("chunks")).withColumn("asked", F.lit(True))
-        met = flat.withColumn("block", spread("blocks")).withColumn("asked", F.lit(False))
-        met = asking.select(columns).unionByName(met.select(columns))
-        found.append(shared.kept(met.groupBy("region", "block", "chunk").applyInPandas(lambda r: _asked(r, percent), LINK), "asked"))
+        for waves, wave in _waves(sizes, half):
+            turn = F.pmod("block", F.lit(waves)) == wave
+            flat = sized.where(F.col("flat") & (F.col("blocks") > wave))
+            asking = flat.where("asks").withColumn("block", pick(F.col("blocks"))).where(turn).withColumn("chunk", spread("chunks")).withColumn("asked", F.lit(True))
+            met = flat.withColumn("block", F.explode(F.sequence(F.lit(wave).cast("long"), F.col("blocks") - 1, F.lit(waves).cast("long")))).withColumn("asked", F.lit(False))
+            met = asking.select(columns).unionByName(met.select(columns))
+            found.append(shared.kept(met.groupBy("region", "block", "chunk").applyInPandas(lambda r: _asked(r, percent), LINK), "asked"))
         if not sizes.where("NOT flat").limit(1).count():
             shared.done(rows, sizes)
             break
@@ -306,13 +331,13 @@ def large_regions(rows: DataFrame, percent: int) -> DataFrame:
         found.append(shared.kept(measured.where("home IS NULL").select("a1", "a2", "b1", "b2"), "regionlinks"))
 
         label = components(_edges_of(found))
-        now = lambda key: F.coalesce(label["label"], key)  # noqa: B023, E731
+        new = lambda key: F.coalesce(label["label"], key)  # noqa: B023, E731
         own = measured.where("home IS NOT NULL").select("comp", "region", F.col("a1").alias("d1"), F.col("a2").alias("d2"), "home", "near", "bytes", "asks")
-        own = own.withColumn("own", node).join(label, F.col("own") == label["node"], "left").withColumn("now", now(F.col("own"))).drop("own", "node", "label")
+        own = own.withColumn("own", node).join(label, F.col("own") == label["node"], "left").withColumn("now", new(F.col("own"))).drop("own", "node", "label")
         own = own_kept = shared.kept(own, "own")
         if main is None:  # a label of the largest component; as a set of it, it stays in the same component in later rounds
             main = shared.kept(own.groupBy("comp", "now").count().groupBy("comp").agg(F.max_by("now", F.struct("count", "now")).alias("top")), "main")
-        top = main.join(label, F.col("top") == label["node"], "left").select("comp", now(F.col("top")).alias("main"))
+        top = main.join(label, F.col("top") == label["node"], "left").select("comp", new(F.col("top")).alias("main"))
         own = own.join(shared.if_small(top), "comp").withColumn("asks", F.col("asks") & (F.col("now") != F.col("main")))
         asking = own.where("asks").groupBy("region").agg(F.sum("bytes").alias("asking"))
         radius = own.where("asks").groupBy("region", F.col("home").alias("q")).agg(F.max(F.array_min("near")).alias("radius"))
@@ -327,9 +352,9 @@ def large_regions(rows: DataFrame, percent: int) -> DataFrame:
 
         windows = F.filter(F.sequence(F.lit(0), F.size("near") - 1), within)
         met = shared.kept(met.select("region", "d1", "d2", "asks", "home", "asking", "bytes", F.col("now").alias("label"), windows.alias("windows")), "met")
-        # Windows that hold more than the blocks of asking sets would meet split nothing: the region stays whole and its blocks meet it next.
+        # Windows that hold more than the blocks of asking sets would meet, or than disk should, split nothing: the region stays whole and its blocks meet it next.
         weighed = met.groupBy("region").agg(F.sum(F.col("bytes") * F.size("windows")).alias("reach"), F.sum("bytes").alias("all"), F.first("asking").alias("asking"))
-        weighed = weighed.select("region", (F.col("asking") <= half).alias("one"), (F.col("reach") > F.ceil(F.col("asking") / half) * F.col("all")).alias("stuck"))
+        weighed = weighed.select("region", (F.col("asking") <= half).alias("one"), (F.col("reach") > F.least(F.ceil(F.col("asking") / half), F.lit(max(1.0, WINDOWS * whole / now))) * F.col("all")).alias("stuck"))
         weighed = shared.kept(weighed, "weighed")
         goes = met.join(shared.if_small(weighed), "region").withColumn("whole", F.col("one") | F.col("stuck"))
         goes = goes.select("region", "d1", "d2", "asks", "home", "label", "whole", "stuck", F.explode(F.when(F.col("whole"), F.array(F.lit(-1))).otherwise(F.col("windows"))).alias("q"))
@@ -464,7 +489,7 @@ def _classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, list[Da
     classes = classes.join(groups, "d1")
     alone = classes.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("comp")
     asked = shared.kept(classes.join(alone, "comp", "left_semi").select("t1", "d1", "d2", "comp"), "asked")
-    texts = docs.select("text", shared.row_key("t1", "t2")[0]).join(shared.if_small(asked), "t1")
+    texts = shared.among(docs.select("text", shared.row_key("t1", "t2")[0]), asked, ["t1"], "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, width):
@@ -505,19 +530,21 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     Rows are told apart by id and text, so neither a repeated nor a null id takes other texts with it.  Of rows with the same id and the same text
     one stays, any of them.
     """
-    labelled = labels_of(docs, width).where(F.col("label").isNotNull()).select("doc_id", "t1", "t2", "label")
+    every = labels_of(docs, width)
+    labelled = every.where(F.col("label").isNotNull()).select("doc_id", "t1", "t2", "label")
     first = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2")).alias("first"))
     first = first.select("label", F.col("first.t1").alias("f1"), F.col("first.t2").alias("f2"))
     stays = (F.col("t1") == F.col("f1")) & (F.col("t2") == F.col("f2"))
     gone = shared.kept(labelled.join(first, "label").where(~stays).select("t1", "t2").distinct(), "gone")
     twice = shared.kept(labelled.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("t1", "t2").join(gone, ["t1", "t2"], "left_anti"), "twice")
+    shared.done(every)
 
     key = ["_t1", "_t2"]
-    among = lambda keys: shared.if_small(keys.toDF(*key))
-    out = docs.select("*", *shared.row_key(*key)).join(among(gone), key, "left_anti")
+    gone, twice = gone.toDF(*key), twice.toDF(*key)
+    out = shared.among(docs.select("*", *shared.row_key(*key)), gone, key, "left_anti")
     if twice.limit(1).count():
-        repeats = out.join(among(twice), key, "left_semi").dropDuplicates(key)
-        out = out.join(among(twice), key, "left_anti").unionByName(repeats)
+        repeats = shared.among(out, twice, key, "left_semi").dropDuplicates(key)
+        out = shared.among(out, twice, key, "left_anti").unionByName(repeats)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

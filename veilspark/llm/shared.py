@@ -128,6 +128,29 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = No
     return F.broadcast(df) if n <= rows and (total or 0) <= most else df
 
 
+#: Bits of a bitmap for each key that it marks, and of all.
+MARK_BITS, MARKS_MOST = 32, 1 << 28
+
+
+def among(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """`rows` joined to `keys` (a kept table) on `on`, whose first column is a 64-bit hash, by `how`: inner, left_semi or left_anti.
+
+    For wide rows, most of which have no key: where `keys` are too many to broadcast, a bitmap of their hashes is, and only rows whose bit
+    is set are shuffled; about 3 % of the others are among these.
+    """
+    n = keys.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), on, how)
+    bit = F.pmod(F.col(on[0]), F.lit(min(MARKS_MOST, MARK_BITS * n))) + 1
+    marks = keys.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_marks"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_marks", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    placed = rows.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(marks), "_bucket", "left")
+    placed = placed.withColumn("_marked", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_bucket", "_marks")
+    found = placed.where("_marked").drop("_marked").join(keys, on, how)
+    return found.unionByName(placed.where("NOT _marked").drop("_marked")) if how == "left_anti" else found
+
+
 #: Parts into which the rows of one key are dealt where the other side of a join is too large to broadcast.
 SALTS = 32
 
