@@ -83,6 +83,16 @@ def test_warc_files_are_bounded_in_bytes(spark, monkeypatch):
     assert all(f["b"] <= 4000 or f["n"] == 1 for f in files) and len(files) >= 6
 
 
+def test_warc_files_fit_a_task(spark):
+    """With the shipped bounds: one task's pages of tens of KB make files of 32 MB at most (and headers), and only classes with rows are written."""
+    pages = spark.range(1, 701, 1, 1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.repeat(F.lit("x"), 60_000), F.col("id").cast("string")).alias("html"))
+    path = shared.new_path(spark, "test")
+    warc.write_warc(pages.unionByName(spark.createDataFrame([(0, "u", "small"), (701, "u", "y" * 3_000_000)], pages.schema)).coalesce(1), path)
+    files = warc.coverage(spark, path).collect()
+    assert max(f["size"] for f in files) < 34_000_000 and sum(f["records"] for f in files) == 702 and all(f["covered"] == f["size"] for f in files)
+    assert warc.classes(pages) == [(16_384, 131_072)] and warc.classes(pages.limit(0)) == [(-1, 16_384)]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 100])
 def test_pointer_jumping(n):
     offset = np.arange(n) * 10

@@ -8,7 +8,7 @@ Reading: a task looks for the magic string (of any version) in a file's bytes an
 (offset, offset of the successor).  Payloads may hold the magic, and even whole records.  Per file, pointer jumping over
 the candidates (doubling, log2(n) vectorised rounds) marks those that a chain from offset 0 reaches; all others
 are rejected, and the records come with their ids and payloads.  Archives of gzip members are read unpacked, offsets being those of the unpacked bytes.
-A file is one task's work: files that this module writes are bounded by `max_records` and, where payloads are large, by FILE_BYTES.
+A file is one task's work, which holds its bytes several times (in Spark and in Python): files that this module writes are bounded by `max_records` and by FILE_BYTES.
 
 Defined results: null html is an empty payload; rows with the same page_id and payload are all responses, or all revisits, of it;
 a null page_id is smaller than any other (a revisit refers to null only where all are null); CR and LF in a url become spaces; an archive that is cut off keeps its records before
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import shared
 
-MAGIC = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
+MAGIC, BLANK = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n"), re.compile(rb"\r\n\r\n")
 GZIP = b"\x1f\x8b"
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -45,8 +45,10 @@ RECORD = f"{CANDIDATE}, payload binary"
 #: Payloads reach Spark in batches of about so many bytes.
 BATCH_BYTES = 8_000_000
 COVERAGE = "file string, size long, records long, covered long, candidates long"
-#: Payload classes: up to SMALL bytes, then up to STEP times as much each; files of a class hold at most about FILE_BYTES of payload (or one record).
-SMALL, STEP, FILE_BYTES = 1 << 16, 16, 1 << 27
+#: Payload classes: up to SMALL bytes, then up to STEP times as much each; files of a class hold at most FILE_BYTES of payload (or one record).
+SMALL, STEP, FILE_BYTES = 1 << 14, 8, 1 << 25
+#: No payload is larger: Spark's limit for a value.
+LARGEST = 1 << 31
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -84,15 +86,23 @@ def record(row: DataFrame) -> Column:
     return F.concat(header, F.lit(END), F.when(again, F.lit("")).otherwise(F.col("payload")))
 
 
+def classes(pages: DataFrame) -> list[tuple[int, int]]:
+    """The payload classes that have rows (the first, where there are none): more than so many bytes, and at most so many."""
+    size, high = F.coalesce(F.octet_length("html"), F.lit(0)), [SMALL]
+    while high[-1] < LARGEST:
+        high.append(high[-1] * STEP)
+    bounds = list(zip([-1, *high[:-1]], high, strict=True))
+    found = pages.agg(*[F.max((size > low) & (size <= top)) for low, top in bounds]).first()
+    return [b for b, some in zip(bounds, found, strict=True) if some] or bounds[:1]
+
+
 def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, max_records: int = 2000) -> None:
-    """The archives of `pages` in the folder `path`.  Large payloads are written by classes of size, so that files stay bounded in bytes."""
-    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
-    rows, low, high = planned(pages, min_revisit_bytes), -1, SMALL
-    while low < largest or low < 0:
-        own = rows.where(F.col("payload_bytes").between(low + 1, high)) if largest > SMALL else rows
+    """The archives of `pages` in the folder `path`.  Payloads are written by classes of size, so that files stay bounded in bytes."""
+    rows, parts = planned(pages, min_revisit_bytes), classes(pages)
+    for low, high in parts:
+        own = rows.where(F.col("payload_bytes").between(low + 1, high)) if len(parts) > 1 else rows
         most = min(max_records, max(1, FILE_BYTES // high))
         own.select(record(own).alias("value")).write.mode("append").option("lineSep", END).option("compression", "none").option("maxRecordsPerFile", most).text(path)
-        low, high = high, high * STEP
 
 
 def _header(block: bytes) -> dict[bytes, bytes]:
@@ -109,14 +119,14 @@ def _page(value: bytes | None) -> int | None:
     return int(text) if text.lstrip(b"-").isdigit() else None
 
 
-def candidates_of(file: str, data: bytes) -> Iterator[tuple]:
+def candidates_of(file: str, data: memoryview) -> Iterator[tuple]:
     """A row of CANDIDATE for every occurrence of the magic with a header that can be parsed, wherever it is."""
     for magic in MAGIC.finditer(data):
         at, body = magic.span()
-        stop = data.find(b"\r\n\r\n", body)
-        head = _header(data[body:stop]) if stop >= 0 else {}
+        stop = BLANK.search(data, body)
+        head = _header(bytes(data[body : stop.start()])) if stop else {}
         if head.get(b"content-length", b"").isdigit() and b"warc-type" in head:
-            start, size = stop + 4, int(head[b"content-length"])
+            start, size = stop.end(), int(head[b"content-length"])
             if data[start + size : start + size + 4] == b"\r\n\r\n":
                 kind, payload = head[b"warc-type"].decode("utf-8", "replace"), data[start : start + size]
                 said = head.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("ascii", "replace")
@@ -152,11 +162,11 @@ def _columns(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array(list(c), k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * len(KINDS), KINDS, strict=True)]
 
 
-def unpacked(data: bytes) -> bytes:
-    """Gzip members, one after another, as the bytes they hold; of a damaged or cut one what comes before the damage.  Other data as it is."""
-    if not data.startswith(GZIP):
-        return data
-    out = []
+def unpacked(held: memoryview) -> memoryview:
+    """Gzip members, one after another, as the bytes they hold; of a damaged or cut one what comes before the damage.  Other data as it is, not copied."""
+    if held[:2] != GZIP:
+        return held
+    out, data = [], bytes(held)
     while data.startswith(GZIP):
         member = zlib.decompressobj(wbits=31)
         try:
@@ -164,14 +174,15 @@ def unpacked(data: bytes) -> bytes:
         except zlib.error:
             break
         data = member.unused_data
-    return b"".join(out)
+    return memoryview(b"".join(out))
 
 
-def _archives(spark: SparkSession, path: str, glob: str, make: Callable[[str, bytes], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def _archives(spark: SparkSession, path: str, glob: str, make: Callable[[str, memoryview], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.lean()
         for batch in batches:
             for file, data in zip(batch.column(0), batch.column(1), strict=True):
-                yield from make(file.as_py(), unpacked(data.as_py()))
+                yield from make(file.as_py(), unpacked(memoryview(data.as_buffer()).cast("B")))
 
     shared.ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
@@ -184,7 +195,7 @@ def _chained(rows: list[tuple]) -> list[tuple]:
 
 
 def read_candidates(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    def make(file: str, data: bytes) -> Iterator[pa.RecordBatch]:
+    def make(file: str, data: memoryview) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(_columns(list(candidates_of(file, data))), NAMES)
 
     return _archives(spark, path, glob, make, CANDIDATE)
@@ -194,14 +205,14 @@ def read_warc(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """The records of all archives in `path` whose names match `glob`: columns of RECORD, reachable ones only.  A revisit's payload is
     empty; its payload_bytes and payload_digest are what its header says."""
 
-    def make(file: str, data: bytes) -> Iterator[pa.RecordBatch]:
+    def make(file: str, data: memoryview) -> Iterator[pa.RecordBatch]:
         rows, held = _chained(list(candidates_of(file, data))), 0
         part: list[tuple] = []
         for k, row in enumerate(rows):
             part.append(row)
             held += row[2] - row[1]
             if held >= BATCH_BYTES or k == len(rows) - 1:
-                payloads = pa.array([data[r[-1] : r[2] - 4] for r in part], pa.binary())
+                payloads = pa.array([bytes(data[r[-1] : r[2] - 4]) for r in part], pa.binary())
                 yield pa.RecordBatch.from_arrays([*_columns(part), payloads], [*NAMES, "payload"])
                 part, held = [], 0
 
@@ -212,7 +223,7 @@ def coverage(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """COVERAGE of each archive: `covered` of its `size` bytes are records of the chain; a chain that breaks covers less than the file.
     Files without a byte have no row, since Spark does not read them."""
 
-    def make(file: str, data: bytes) -> Iterator[pa.RecordBatch]:
+    def make(file: str, data: memoryview) -> Iterator[pa.RecordBatch]:
         rows = list(candidates_of(file, data))
         chain = _chained(rows)
         found = [file, len(data), len(chain), chain[-1][2] if chain else 0, len(rows)]
