@@ -6,7 +6,7 @@ import re
 import pytest
 
 from veilspark.sources.catalog import Catalog, outer_parts, required_literal
-from veilspark.sources.pattern_needs import needs_of
+from veilspark.sources.pattern_needs import boundary_needs_of, needs_of
 
 
 @pytest.mark.parametrize("regex,literal,digit", [
@@ -39,3 +39,22 @@ def test_prefilters_lose_no_match():
 ])
 def test_needs(regex, want):
     assert needs_of(regex) == want
+
+
+@pytest.mark.parametrize("regex,want", [
+    (r"\b\d{9}\b", (9, 0)), (r"\d{9}\b", (0, 0)), (r"\b[A-Z]{2}\s?\d{3}\b", (0, 2)), (r"\b0?9\d{2}x", (3, 0)), (r"\bA\d|\bBC\d", (0, 1)), (r"[A-ZÄ]x", (0, 0)), (r"(?i)AB[C-E]", (0, 0)),
+    (r"[^A]B", (0, 1)), (r"(?=A)\b\d", (0, 0)), (r"(", (0, 0)),
+])
+def test_boundary_needs(regex, want):
+    assert boundary_needs_of(regex) == want
+
+
+def test_boundary_needs_lose_no_match():
+    rnd = random.Random(9)
+    rows = Catalog.of().rows()
+    texts = ["".join(rnd.choice("ABCDEHKLNTUX09123456789 -./+@:abdeht") for _ in range(80)) for _ in range(150)]
+    assert sum(r["head"] > 0 for r in rows) > 100 and sum(r["capitals"] > 0 for r in rows) > 100
+    for r in rows:
+        rx = re.compile(r["regex"].removeprefix("(?Ud)"))
+        for t in (t for t in texts if rx.search(t)):
+            assert max(map(len, re.findall(r"\b\d+", t)), default=0) >= r["head"] and len(re.findall("[A-Z]", t)) >= r["capitals"], (rx.pattern, t)

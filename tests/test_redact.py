@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from veilspark import api
 from veilspark.operators.labels import redact_with_labels
-from veilspark.operators.redact import Redactor, resolved
+from veilspark.operators.redact import Redactor, matching, resolved
+from veilspark.plans import built_queries
 from veilspark.sources.catalog import Catalog, UnknownCountry, available_countries
 from veilspark.sources.records import from_texts
 
@@ -217,3 +218,31 @@ def test_recall_and_precision(spark):
     one = spark.createDataFrame([(0.5, 0.25, ["NL", "BE", "NL"])], "p double, r double, c array<string>")
     got = one.select(evaluate.f1(F.col("p"), F.col("r")), evaluate.combination(F.col("c"))).first()
     assert got[0] == pytest.approx(1 / 3) and got[1] == "BE + NL"
+
+
+def _orders_in_one_group(spark, folder):
+    spark.range(420).toDF("o_orderkey").coalesce(1).write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def _equals_sql(spark, name, folder):
+    import duckdb
+
+    df = built_queries.QUERIES[name](spark, folder)
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism  # one row group, yet every core has texts to scan
+    sql = built_queries.ORACLES[name].replace("FROM orders", f"FROM '{folder}/orders.parquet/*.parquet'")
+    columns = ", ".join(df.columns)
+    assert sorted(map(tuple, df.collect())) == sorted(duckdb.execute(f"SELECT {columns} FROM ({sql})").fetchall())
+
+
+def test_account_numbers_are_dealt_out_and_keep_regexes(spark, tmp_path):
+    _equals_sql(spark, "redact_ibans_all", _orders_in_one_group(spark, tmp_path))
+    has = F.struct(F.lit(True).alias("ascii"), *(F.lit(0).alias(k) for k in ("digits", "run", "head")), F.lit(9).alias("capitals"))
+    one = spark.sql("SELECT 'AB DEUTDEFF' AS text").select(matching(F.col("text"), Catalog(countries=("NL",)), has).alias("which")).first()[0]
+    rows = Catalog(countries=("NL",)).rows()
+    assert {rows[int(n)]["type"] for n in one.split(",") if n} == {"BIC"}
+
+
+def test_long_texts_by_bounds(spark):
+    text = "x " * 600 + "BSN 111222333 and NL91ABNA0417164300"
+    assert {d["entity_type"] for d in Redactor.of(["NL"]).redact(from_texts(spark, [text])).first()["detections"]} == {"NATIONAL_ID", "IBAN"}

@@ -24,10 +24,20 @@ def weighted(d: Column, weights: list[int]) -> Column:
     return F.aggregate(terms, F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0)))
 
 
+def _locate(part: Column, text: Column, start: Column) -> Column:
+    """The place from 1 of the first `part` that starts at `start` or later; 0 without one."""
+    return F.call_function("locate", part, text, start)
+
+
 def match_spans(text: Column, regex: Column) -> Column:
-    """array<struct<s, e, m>> of the leftmost non-overlapping matches.
+    """array<struct<s, e, m>> of the leftmost non-overlapping matches."""
+    return let(F.regexp_extract_all(text, regex, F.lit(0)), lambda found: found_spans(text, regex, found))
+
 
-    A match starts where the gaps and matches before it end; gaps come from `split`, matches from `regexp_extract_all`.
+def found_spans(text: Column, regex: Column, found: Column) -> Column:
+    """The spans of `found`, all matches of `regex` in `text`.
+
+    A match starts where the gaps and matches before it end; gaps come from `split`.  A single match is where its text is, if that is there once.
     """
     kind = "array<struct<s:int,e:int,m:string>>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
@@ -37,11 +47,18 @@ def match_spans(text: Column, regex: Column) -> Column:
         e = s + F.length(pair["m"])
         return F.struct(e.alias("at"), F.array_append(state["out"], F.struct(s.alias("s"), e.alias("e"), pair["m"].alias("m"))).alias("out"))
 
-    def spans(found: Column) -> Column:
+    def by_gaps() -> Column:
         pairs = F.zip_with(F.slice(F.split(text, regex, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-        return F.when(F.size(found) > 0, F.aggregate(pairs, start, step)["out"]).otherwise(F.array().cast(kind))
+        return F.aggregate(pairs, start, step)["out"]
+
+    def single(x: Column) -> Column:
+        m, s = x["m"], x["s"]
+        alone = (F.length(m) > 0) & (_locate(m, text, s + 2) == 0)
+        return F.when(alone, F.array(F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m"))).cast(kind)).otherwise(by_gaps())
 
-    return let(F.regexp_extract_all(text, regex, F.lit(0)), spans)
+    m = F.get(found, F.lit(0))
+    one = let(F.struct(m.alias("m"), (_locate(m, text, F.lit(1)) - 1).alias("s")), single)
+    return F.when(F.size(found) > 1, by_gaps()).when(F.size(found) > 0, one).otherwise(F.array().cast(kind))
 
 
 def blocks(text: Column, n: int) -> Column:

@@ -229,4 +229,4 @@ def validate(name: Column, text: Column, names: list[str] | None = None, more: d
     known, out = VALIDATORS | (more or {}), None
     for key in (k for k in (names if names is not None else known) if k in known):
         out = F.when(name == key, known[key](text)) if out is None else out.when(name == key, known[key](text))
-    return F.lit(True) if out is None else F.coalesce(out, F.lit(True))
+    return F.lit(True) if out is None else F.when(name.isNull(), True).otherwise(F.coalesce(out, F.lit(True)))

@@ -9,7 +9,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
@@ -57,29 +58,56 @@ def original_offset(where: Column, offset: Column) -> Column:
 
 
 def features(text: Column) -> Column:
-    """What decides which rules can match: whether the text is ASCII, its digits, and the most of them in a row."""
-    runs = F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\d+"), F.lit(0)), lambda d: F.length(d))
-    return let(runs, lambda r: F.struct(
-        (F.length(text) == F.octet_length(text)).alias("ascii"), F.aggregate(r, F.lit(0), lambda a, b: a + b).alias("digits"), F.coalesce(F.array_max(r), F.lit(0)).alias("run"),
+    """What decides which rules can match: whether the text is ASCII, its digits, the most of them in a row, the most of them right behind a word
+    boundary, and its capitals A-Z (of these two, no less than there are)."""
+    ascii = F.length(text) == F.octet_length(text)
+    found = lambda regex: F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    sizes = lambda regex: F.transform(F.when(ascii, found(regex)).otherwise(found(f"(?U){regex}")), lambda d: F.length(d))
+    most = lambda runs: F.coalesce(F.array_max(runs), F.lit(0))
+    few = F.length(text) <= 1000  # longer texts nearly always have what rules ask for: bounds will do
+    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    return let(sizes(r"\d+"), lambda r: F.struct(
+        ascii.alias("ascii"), F.aggregate(r, F.lit(0), lambda a, b: a + b).alias("digits"), most(r).alias("run"),
+        F.when(few, most(sizes(r"\b\d+"))).otherwise(most(r)).alias("head"), F.when(few, capitals).otherwise(F.length(text)).alias("capitals"),
     ))
 
 
-def scan(text: Column, catalog: Catalog, has: Column) -> Column:
-    """array of match rows of all rules, in rule order.  A rule runs only on texts with the literals and digits that each of its matches holds;
-    on ASCII texts it runs without Unicode classes, which find the same there and take longer."""
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+def matching(text: Column, catalog: Catalog, has: Column) -> Column:
+    """The numbers of the rules that match, joined by commas.  A rule runs only on texts with the literals and digits that each of its matches holds;
+    on ASCII texts it runs without Unicode classes, which find the same there and take longer.
+
+    Each rule is an expression of its own that keeps its compiled regex from row to row, and only functions that Spark compiles stand around them.
+    """
+    least, groups = ("digits", "run", "head", "capitals"), {}
+    for rule in catalog.rows():
+        groups.setdefault((*(rule[k] for k in least), rule["char"] or ""), []).append(rule)
+
+    def of_rule(rule: dict) -> Column:
+        found = F.when(has["ascii"], text.rlike(f"(?d){rule['regex'].removeprefix('(?Ud)')}")).otherwise(text.rlike(rule["regex"]))
+        return F.when(F.contains(text, F.lit(rule["literal"])) & found if rule["literal"] else found, F.lit(str(rule["rule"])))
+
+    def of_group(key: tuple, rules: list[dict]) -> Column:
+        asks = [has[k] >= n for k, n in zip(least, key, strict=False) if n] + [F.contains(text, F.lit(key[-1]))] * bool(key[-1])
+        found = F.concat_ws(",", *map(of_rule, rules))
+        return F.when(reduce(and_, asks), found) if asks else found
+
+    apart = F.get(F.transform(F.array(text), lambda _: F.lit(None).cast("string")), F.lit(0))  # null; keeps the step out of whole-stage code, which can't be cut into methods
+    return F.concat_ws(",", *[of_group(k, g) for k, g in sorted(groups.items())], apart)
+
+
+def scan(text: Column, catalog: Catalog, has: Column, which: Column) -> Column:
+    """array of match rows of the rules `which`, of `matching`."""
+    table, kind = catalog.literal(), "array<struct<type:string,country:string,validator:string,needs:array<string>,required:boolean,rank:int,s:int,e:int,m:string>>"
 
     def of_rule(rule: Column) -> Column:
-        possible = (rule["digits"] <= has["digits"]) & (rule["run"] <= has["run"])
-        possible = possible & (rule["char"].isNull() | F.contains(text, rule["char"])) & (rule["literal"].isNull() | F.contains(text, rule["literal"]))
         regex = F.when(has["ascii"], F.concat(F.lit("(?d)"), F.substring(rule["regex"], F.lit(6), F.length(rule["regex"])))).otherwise(rule["regex"])
-        found = let(regex, lambda rx: match_spans(text, rx))
-        return F.transform(F.when(possible, found).otherwise(none), lambda x: F.struct(
+        return F.transform(let(regex, lambda rx: match_spans(text, rx)), lambda x: F.struct(
             rule["type"].alias("type"), rule["country"].alias("country"), rule["validator"].alias("validator"), F.when(rule["required"], rule["needs"]).alias("needs"),
             rule["required"].alias("required"), rule["rule"].alias("rank"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"),
         ))
 
-    return F.flatten(F.transform(catalog.literal(), of_rule))
+    rules = F.transform(F.filter(F.split(which, ","), lambda n: n != ""), lambda n: F.get(table, n.cast("int")))
+    return F.when(which != "", F.flatten(F.transform(rules, of_rule)).cast(kind)).otherwise(F.array().cast(kind))
 
 
 def judged(matches: Column, names: list[str], more: dict | None = None) -> Column:
@@ -230,7 +258,8 @@ def _steps(of: Redactor, text: str) -> tuple[tuple[str, Column, tuple[str, ...]]
         steps.append(("_vs_t", F.coalesce(whole, F.lit("")), ()))
         steps.append(("_vs_map", F.lit(None).cast("array<int>"), ()))
     steps.append(("_vs_f", features(F.col("_vs_t")), ()))
-    steps.append(("_vs_m", scan(F.col("_vs_t"), of.catalog, F.col("_vs_f")), ("_vs_f",)))
+    steps.append(("_vs_h", matching(F.col("_vs_t"), of.catalog, F.col("_vs_f")), ()))
+    steps.append(("_vs_m", scan(F.col("_vs_t"), of.catalog, F.col("_vs_f"), F.col("_vs_h")), ("_vs_f", "_vs_h")))
     steps.append(("_vs_b", F.when(F.size("_vs_m") > 0, blocks(F.col("_vs_t"), CONTEXT)), ()))
     steps.append(("_vs_j", judged(F.col("_vs_m"), names, more), ("_vs_m",)))
     priority = lambda x: F.when(x["validator"].isin(*VALIDATORS, *more), 3).when(x["country"] == "CUSTOM", 2).otherwise(1)

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from veilspark.sources.catalog_national import NATIONAL
 from veilspark.sources.catalog_shared import SHARED
-from veilspark.sources.pattern_needs import needs_of
+from veilspark.sources.pattern_needs import boundary_needs_of, needs_of
 
-ROW = "struct<rule:int,country:string,ordinal:int,type:string,regex:string,validator:string,needs:array<string>,required:boolean,literal:string,char:string,digits:int,run:int>"
+ROW = "struct<rule:int,country:string,ordinal:int,type:string,regex:string,validator:string,needs:array<string>,required:boolean,literal:string,char:string,digits:int,run:int,head:int,capitals:int>"
 
 
 class UnknownCountry(ValueError):
@@ -92,10 +92,11 @@ class Catalog:
         for country, rules in slices:
             for ordinal, (kind, regex, validator, words) in enumerate(rules, 1):
                 digits, run, char = needs_of(regex)
+                head, capitals = boundary_needs_of(regex)
                 out.append({
                     "rule": len(out), "country": country, "ordinal": ordinal, "type": kind, "regex": f"(?Ud){regex}", "validator": validator,
                     "needs": sorted({w.lower() for w in words}) if words else None, "required": words is not None,
-                    "literal": required_literal(regex), "char": char, "digits": digits, "run": run,
+                    "literal": required_literal(regex), "char": char, "digits": digits, "run": run, "head": head, "capitals": capitals,
                 })
         return out
 
