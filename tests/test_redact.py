@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark import api
 from veilspark.operators.labels import redact_with_labels
-from veilspark.operators.redact import Redactor, matching, resolved
+from veilspark.operators.redact import Redactor, features, matching, resolved, scan
 from veilspark.plans import built_queries
 from veilspark.sources.catalog import Catalog, UnknownCountry, available_countries
 from veilspark.sources.records import from_texts
@@ -243,6 +243,23 @@ def test_account_numbers_are_dealt_out_and_keep_regexes(spark, tmp_path):
     assert {rows[int(n)]["type"] for n in one.split(",") if n} == {"BIC"}
 
 
+def test_phones_are_dealt_out(spark, tmp_path):
+    _equals_sql(spark, "redact_phones_all", _orders_in_one_group(spark, tmp_path))
+
+
+def test_rules_without_their_keywords_are_left_out(spark):
+    catalog, text = Catalog(), F.col("text")
+    needy = [r for r in catalog.rows() if r["needs"]]
+    assert needy and all(r["words"] is None or all(any(w in k for k in r["needs"]) for w in r["words"]) for r in needy)
+    df = from_texts(spark, ["bel +43 664 1234567 nu", "code postal: 6641 and 664", "x geb 12/04/1985 y"])
+    has = df.withColumn("has", features(text)).withColumn("which", matching(text, catalog, F.col("has")))
+    rows = has.select("text", F.transform(scan(text, catalog, F.col("has"), F.col("which")), lambda x: x["type"]).alias("types")).collect()
+    types = {r["text"]: set(r["types"]) for r in rows}
+    assert "POSTAL_CODE" not in types["bel +43 664 1234567 nu"] and "POSTAL_CODE" in types["code postal: 6641 and 664"]
+    split = Redactor(catalog, detect_dates=True).redact(df.where(text.startswith("x geb"))).first()
+    assert [d["entity_type"] for d in split["detections"]] == ["DOB"]  # the keyword is "geb", a space and nothing else
+
+
 def test_long_texts_by_bounds(spark):
     text = "x " * 600 + "BSN 111222333 and NL91ABNA0417164300"
     assert {d["entity_type"] for d in Redactor.of(["NL"]).redact(from_texts(spark, [text])).first()["detections"]} == {"NATIONAL_ID", "IBAN"}

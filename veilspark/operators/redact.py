@@ -96,7 +96,8 @@ def matching(text: Column, catalog: Catalog, has: Column) -> Column:
 
 
 def scan(text: Column, catalog: Catalog, has: Column, which: Column) -> Column:
-    """array of match rows of the rules `which`, of `matching`."""
+    """array of match rows of the rules `which`, of `matching`.  Rules whose keywords are nowhere in the text are left out: all their matches lack
+    context, and they make no zones."""
     table, kind = catalog.literal(), "array<struct<type:string,country:string,validator:string,needs:array<string>,required:boolean,rank:int,s:int,e:int,m:string>>"
 
     def of_rule(rule: Column) -> Column:
@@ -106,8 +107,12 @@ def scan(text: Column, catalog: Catalog, has: Column, which: Column) -> Column:
             rule["required"].alias("required"), rule["rule"].alias("rank"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"),
         ))
 
-    rules = F.transform(F.filter(F.split(which, ","), lambda n: n != ""), lambda n: F.get(table, n.cast("int")))
-    return F.when(which != "", F.flatten(F.transform(rules, of_rule)).cast(kind)).otherwise(F.array().cast(kind))
+    def of_text(low: Column) -> Column:
+        able = lambda rule: rule["words"].isNull() | F.exists(rule["words"], lambda k: F.contains(low, k))
+        rules = F.filter(F.transform(F.filter(F.split(which, ","), lambda n: n != ""), lambda n: F.get(table, n.cast("int"))), able)
+        return F.flatten(F.transform(rules, of_rule)).cast(kind)
+
+    return F.when(which != "", let(F.lower(text), of_text)).otherwise(F.array().cast(kind))
 
 
 def judged(matches: Column, names: list[str], more: dict | None = None) -> Column:

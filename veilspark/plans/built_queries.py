@@ -94,7 +94,7 @@ def _letters() -> Column:
 
 def _sentences(cases: list[str], redactor: Callable[[], Redactor]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Note "), _letters(), F.lit(" "), _by_key([plain_and_redacted(c)[0] for c in cases])).alias("text"))
+        rows = _keys(spark, sf_dir).select("o_orderkey", F.concat(F.lit("Note "), _letters(), F.lit(" "), _by_key([plain_and_redacted(c)[0] for c in cases])).alias("text"))
         out = redactor().redact(rows)
         return out.select("o_orderkey", "redacted_text", F.array_join(F.array_sort(evaluate.distinct_types(F.col("detections"))), ",").alias("types"))
 

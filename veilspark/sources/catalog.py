@@ -15,7 +15,7 @@ from veilspark.sources.catalog_national import NATIONAL
 from veilspark.sources.catalog_shared import SHARED
 from veilspark.sources.pattern_needs import boundary_needs_of, needs_of
 
-ROW = "struct<rule:int,country:string,ordinal:int,type:string,regex:string,validator:string,needs:array<string>,required:boolean,literal:string,char:string,digits:int,run:int,head:int,capitals:int>"
+ROW = "struct<rule:int,country:string,ordinal:int,type:string,regex:string,validator:string,needs:array<string>,required:boolean,literal:string,char:string,digits:int,run:int,head:int,capitals:int,words:array<string>>"
 
 
 class UnknownCountry(ValueError):
@@ -59,6 +59,13 @@ def required_literal(regex: str) -> str | None:
     return "".join(plain[:-1] if found[2] else plain) or None
 
 
+def parts_of_keywords(words: Sequence[str] | None) -> list[str] | None:
+    """The longest part without spaces of each keyword, lower case: a context (its two sides are joined by a space) with a keyword is of a text
+    with that part.  None where nothing can be told so: without keywords, or as a sigma's lower case depends on its neighbours."""
+    parts = sorted({max(w.lower().split(" "), key=len) for w in words or ()})
+    return None if not parts or any(c in p for p in parts for c in "σςΣ") else parts
+
+
 @dataclass(frozen=True)
 class Catalog:
     """Immutable.  `countries` None: all; order of explicit countries is kept and shared rules come last among ties."""
@@ -97,6 +104,7 @@ class Catalog:
                     "rule": len(out), "country": country, "ordinal": ordinal, "type": kind, "regex": f"(?Ud){regex}", "validator": validator,
                     "needs": sorted({w.lower() for w in words}) if words else None, "required": words is not None,
                     "literal": required_literal(regex), "char": char, "digits": digits, "run": run, "head": head, "capitals": capitals,
+                    "words": parts_of_keywords(words),
                 })
         return out
 
